@@ -9,8 +9,16 @@ of the same source pile up at one length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomaudit.session import cut as cut_lineage
 from loomaudit.session import spread
@@ -21,24 +29,76 @@ DOTS = r"\s*(?:\.{2,}|…)\s*$"
 TERMINAL = r"[.!?。！？][\"'”’»“)\]\s]*$"
 OPEN = r"(?:[,;(\[{]|\p{L}[-‐‑/])\s*$"
 BREAK = r"[.!?。！？…]+[\"'”’»“)\]]*\s+|\n+"
-TOKENS = r"\p{L}+|\p{N}+"
 #: the end of a text that is looked at by itself; all of the text goes into the tries
 TAIL = 1000
 #: sentences of more words than this are told by their form alone
 LONGEST = 12
 #: a sentence start goes on if it does so that many times as often as it ends
 GOES_ON = 3
-#: share of a source's texts at its greatest length (within SLACK characters) that makes a pile
-PILE, SLACK = 0.1, 12
+#: share of a source's unfinished texts within SLACK characters below one length that makes a pile, and least number
+PILE, SLACK, FEW = 0.2, 12, 5
+#: a text of one line of at most so many words may be a label
+LABEL = 6
 
 
-def masked(sentence: Column) -> Column:
+_BREAK, _DOTS, _TOKENS = re.compile(BREAK), re.compile(DOTS), re.compile(r"^\s*[-*•–—]+|[^\W\d_]+|\d+")
+_KEYS = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("stem", T.LongType())])
+#: flush the per-task counts at so many different starts
+FLUSH = 400_000
+
+
+def masked(sentence: str) -> list[str]:
     """Words in lower case; numbers become #, later capitalised words ^, so that names don't matter."""
-    words = F.regexp_extract_all(sentence, F.lit(TOKENS), F.lit(0))
-    return F.transform(
-        words,
-        lambda w, i: F.when(w.rlike(r"^\p{N}"), F.lit("#")).when((i > 0) & w.rlike(r"^\p{Lu}"), F.lit("^")).otherwise(F.lower(w)),
-    )
+    words = _TOKENS.findall(sentence)
+    if not words:
+        return []
+    first = 1 if len(words) > 1 and not words[0][-1].isalnum() else 0
+    return ["#" if w[0].isdigit() else "^" if i > first and w[0].isupper() else w.lower().strip() for i, w in enumerate(words)]
+
+
+def starts_of(words: list[str]) -> list[int]:
+    """A 64-bit key for each start of up to LONGEST words."""
+    h, out = xxhash.xxh64(), []
+    for w in words[:LONGEST]:
+        h.update(w + "\x1f")
+        out.append(h.intdigest() - 2**63)
+    return out
+
+
+@F.pandas_udf(_KEYS)
+def sentence_keys(sentences: pd.Series) -> pd.DataFrame:
+    rows = []
+    for s in sentences:
+        words = masked(s) if s else []
+        keys = starts_of(words)
+        fits = 0 < len(words) <= LONGEST
+        rows.append((len(words), keys[-1] if fits else None, keys[-2] if fits and len(words) > 1 else None))
+    return pd.DataFrame({"size": [r[0] for r in rows], "key": pd.array([r[1] for r in rows], "Int64"), "stem": pd.array([r[2] for r in rows], "Int64")})
+
+
+def count_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    full: Counter[int] = Counter()
+    on: Counter[int] = Counter()
+
+    def out() -> pd.DataFrame:
+        keys = list(on.keys() | full.keys())
+        return pd.DataFrame({"key": keys, "full": [full[k] for k in keys], "on": [on[k] for k in keys]}).astype("int64")
+
+    for b in batches:
+        for text in b["text"]:
+            for s in _BREAK.split(text):
+                words = masked(_DOTS.sub("", s)) if s else []
+                if not words:
+                    continue
+                keys = starts_of(words)
+                if len(words) <= LONGEST:
+                    full[keys.pop()] += 1
+                on.update(keys)
+        if len(on) + len(full) > FLUSH:
+            yield out()
+            full.clear()
+            on.clear()
+    yield out()
 
 
 def tails(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -58,13 +118,13 @@ def tails(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     )
     line = F.regexp_extract("kept", r"([^\n]*)$", 1)
     d = d.withColumn("sure", sure).withColumn("line", line).withColumn("sentence", F.element_at(F.split(F.col("line"), BREAK), -1))
-    d = d.withColumn("words", F.when(F.col("sure").isNull(), masked(F.col("sentence"))))
+    d = d.withColumn("sentence", F.when(F.col("sure").isNull(), F.col("sentence"))).withColumn("k", sentence_keys("sentence"))
     return d.select(
         "doc_id", "source", "chars", "bytes", "sure",
-        F.size("words").alias("size"),
+        "k.size", "k.key", "k.stem",
         (F.trim("line") == F.trim("sentence")).alias("at_start"),
+        (F.trim("kept") == F.trim("sentence")).alias("alone"),
         F.when(F.col("sure").isNull(), F.lower(F.regexp_extract("kept", r"(\p{L}+)$", 1))).alias("token"),
-        F.when(F.size("words").between(1, LONGEST), F.xxhash64("words")).alias("key"),
         F.when(F.col("sure").isNull(), F.xxhash64("kept")).alias("print"),
     )
 
@@ -96,33 +156,31 @@ def word_trie(docs: DataFrame, text: str, ends: DataFrame) -> DataFrame:
 
     Ends of unsure texts count as whole sentences only if different texts have them.
     """
-    sentences = docs.select(F.explode(F.split(F.col(text), BREAK)).alias("s")).select(masked(F.regexp_replace("s", DOTS, "")).alias("w")).filter(F.size("w") > 0)
-    starts = sentences.select("w", F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(LONGEST)))).alias("k"))
-    starts = starts.select(F.xxhash64(F.slice("w", F.lit(1), F.col("k"))).alias("key"), (F.col("k") == F.size("w")).alias("whole"))
-    counts = starts.groupBy("key").agg(F.count_if("whole").alias("full"), F.count_if(~F.col("whole")).alias("on"))
-    wanted = ends.filter(F.col("key").isNotNull()).groupBy("key").agg(
-        F.count("*").alias("own"), F.min("print").alias("one"), F.max("print").alias("other")
+    texts = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    counts = texts.mapInPandas(count_starts, "key bigint, full bigint, on bigint").groupBy("key").agg(F.sum("full").alias("full"), F.sum("on").alias("on"))
+    end = ends.filter(F.col("key").isNotNull()).select("key", F.lit(1).alias("own_full"), F.lit(0).alias("own_on"), "print")
+    stem = ends.filter(F.col("stem").isNotNull()).select(F.col("stem").alias("key"), F.lit(0).alias("own_full"), F.lit(1).alias("own_on"), F.lit(None).cast("bigint").alias("print"))
+    wanted = end.unionByName(stem).groupBy("key").agg(
+        F.sum("own_full").alias("own_full"), F.sum("own_on").alias("own_on"), F.min("print").alias("one"), F.max("print").alias("other")
     )
-    several = F.when(F.col("one") != F.col("other"), 1).otherwise(0)
     return wanted.join(counts, "key", "left").select(
-        "key", (F.greatest(F.coalesce("full", F.lit(0)) - F.col("own"), F.lit(0)) + several).alias("full"), F.coalesce("on", F.lit(0)).alias("on")
+        "key",
+        F.greatest(F.coalesce("full", F.lit(0)) - F.col("own_full"), F.lit(0)).alias("full"),
+        F.greatest(F.coalesce("on", F.lit(0)) - F.col("own_on"), F.lit(0)).alias("on"),
+        F.coalesce(F.col("one") != F.col("other"), F.lit(False)).alias("several"),
     )
 
 
-def piles(d: DataFrame) -> DataFrame:
-    """(source, limit_chars, limit_bytes): a source's length limit in characters or bytes, null where its texts don't pile up there."""
-    d = d.filter("chars > 0")
-    lengths = d.groupBy("source", "chars", "bytes").agg(F.count("*").alias("n"))
-    top = lengths.groupBy("source").agg(F.max("chars").alias("mc"), F.max("bytes").alias("mb"), F.sum("n").alias("all"))
-    near = lengths.join(top, "source").groupBy("source").agg(
-        F.any_value("mc").alias("mc"),
-        F.any_value("mb").alias("mb"),
-        (F.sum(F.when(F.col("chars") >= F.col("mc") - SLACK, F.col("n"))) / F.any_value("all")).alias("pc"),
-        (F.sum(F.when(F.col("bytes") >= F.col("mb") - SLACK, F.col("n"))) / F.any_value("all")).alias("pb"),
-    )
-    return near.select(
-        "source", F.when(F.col("pc") >= PILE, F.col("mc")).alias("limit_chars"), F.when(F.col("pb") >= PILE, F.col("mb")).alias("limit_bytes")
-    )
+def piles(unsure: DataFrame) -> DataFrame:
+    """(source, limit_chars, limit_bytes): the length below which a source's unfinished texts pile up, null where they don't."""
+    lengths = []
+    for c in ("chars", "bytes"):
+        n = unsure.groupBy("source", F.col(c).alias("size")).agg(F.count("*").alias("n"))
+        w = W.partitionBy("source")
+        n = n.withColumn("near", F.sum("n").over(w.orderBy("size").rangeBetween(-SLACK, 0))).withColumn("all", F.sum("n").over(w))
+        top = n.groupBy("source").agg(F.max_by("size", F.struct("near", "size")).alias(f"limit_{c}"), F.max("near").alias("near"), F.max("all").alias("all"))
+        lengths.append(top.select("source", F.when((F.col("near") >= FEW) & (F.col("near") >= PILE * F.col("all")), F.col(f"limit_{c}")).alias(f"limit_{c}")))
+    return lengths[0].join(lengths[1], "source")
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -135,20 +193,27 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     docs = spread(docs)
     d = cut_lineage(tails(docs, doc_id, text, source))
     unsure = d.filter(F.col("sure").isNull())
+    starts = word_trie(docs, text, unsure)
+    stems = starts.select(F.col("key").alias("stem"), F.col("on").alias("stem_on"))
     u = (
         unsure.join(letter_trie(docs, text, unsure), "token", "left")
-        .join(word_trie(docs, text, unsure), "key", "left")
-        .join(piles(d), "source", "left")
+        .join(starts, "key", "left")
+        .join(stems, "stem", "left")
+        .join(piles(unsure), "source", "left")
     )
-    at_limit = (F.col("chars") >= F.col("limit_chars") - SLACK) | (F.col("bytes") >= F.col("limit_bytes") - SLACK)
-    at_limit = F.coalesce(at_limit, F.lit(False))
+    near = lambda c: F.coalesce(F.col(c).between(F.col(f"limit_{c}") - SLACK, F.col(f"limit_{c}")), F.lit(False))
+    at_limit = near("chars") | near("bytes")
     in_word = (F.col("token") != "") & (F.coalesce("known", F.lit(0)) <= 0) & (F.coalesce("longer", F.lit(0)) > 0)
-    full, on = F.coalesce("full", F.lit(0)), F.coalesce("on", F.lit(0))
+    full, on, stem_on = (F.coalesce(c, F.lit(0)) for c in ("full", "on", "stem_on"))
+    label = F.col("alone") & (F.col("size") <= LABEL) & ~at_limit
     reason = (
         F.when(F.col("size") == 0, F.when(at_limit, F.lit("length")))
         .when(in_word, F.lit("word"))
-        .when((full > 0) & (on <= GOES_ON * full), F.when(at_limit & (on > 0), F.lit("length")))
-        .when((on > 0) | F.col("key").isNull() | ~F.col("at_start"), F.lit("sentence"))
+        .when(label, F.lit(None))
+        .when(full > 0, F.when(on > GOES_ON * full, F.lit("sentence")).when(at_limit & (on > 0), F.lit("length")))
+        .when((on > 0) | (stem_on >= GOES_ON) | F.col("key").isNull(), F.lit("sentence"))
+        .when(F.col("several"), F.lit(None))
+        .when(~F.col("at_start"), F.lit("sentence"))
         .when(at_limit, F.lit("length"))
     )
     u = u.select("doc_id", "source", reason.alias("reason"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomaudit.llm import duplicates
+from loomaudit.llm import cutoff, duplicates, leakage
 from loomaudit.sources.tables import table
 
 
@@ -16,6 +16,22 @@ def p6_sets(spark: SparkSession, root: str) -> DataFrame:
     return duplicates.representatives(table(spark, root, "page_features"))
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_evidence(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return cutoff.cut_texts(table(spark, root, "documents"))
+
+
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    return cutoff.cut_rates(table(spark, root, "documents"))
+
+
 _P6 = r"""
 WITH parts AS (
   SELECT row_id, crawl_id, regexp_replace(lower(upper(coalesce(title, ''))), '[^\p{L}\p{N}]+', '', 'g') AS t,
@@ -32,7 +48,14 @@ sets AS (SELECT row_id, crawl_id, min(row_id) OVER w AS first_row_id, count(*) O
          WINDOW w AS (PARTITION BY crawl_id, t, coalesce(fk, d)))
 """
 
-QUERIES = {"p6_found": p6_found, "p6_sets": p6_sets}
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_sets": p6_sets,
+    "p9_found": p9_found,
+    "p9_evidence": p9_evidence,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
+}
 SQL = {
     "p6_found": _P6 + "SELECT first_row_id, row_id FROM sets WHERE row_id <> first_row_id",
     "p6_sets": _P6 + "SELECT DISTINCT crawl_id, first_row_id, copies FROM sets WHERE copies > 1",
