@@ -51,3 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
     at = os.path.join(shared_dir(spark), f"table-{uuid.uuid4().hex}")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it was read from fewer files than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
