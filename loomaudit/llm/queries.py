@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomaudit.llm import cutoff, duplicates, leakage
+from loomaudit.llm import cutoff, duplicates, garbling, leakage
 from loomaudit.sources.tables import table
 
 
@@ -16,6 +17,22 @@ def p6_sets(spark: SparkSession, root: str) -> DataFrame:
     return duplicates.representatives(table(spark, root, "page_features"))
 
 
+def _garbled(spark: SparkSession, root: str) -> DataFrame:
+    content, pages = table(spark, root, "content_store"), table(spark, root, "page_features")
+    weights = garbling.train((content, "content"), (pages, "title"))
+    texts = garbling.restored(content, "hash", "content", weights)
+    titles = garbling.restored_titles(pages, "row_id", "title", weights)
+    return texts.withColumn("table_name", F.lit("content_store")).unionByName(titles.withColumn("table_name", F.lit("page_features")))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _garbled(spark, root).select("table_name", "record_key")
+
+
+def p7_restored(spark: SparkSession, root: str) -> DataFrame:
+    return _garbled(spark, root).filter("chains <> ''").select("table_name", "record_key", "chains", "restored", "whole")
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
@@ -51,6 +68,8 @@ sets AS (SELECT row_id, crawl_id, min(row_id) OVER w AS first_row_id, count(*) O
 QUERIES = {
     "p6_found": p6_found,
     "p6_sets": p6_sets,
+    "p7_found": p7_found,
+    "p7_restored": p7_restored,
     "p9_found": p9_found,
     "p9_evidence": p9_evidence,
     "p10_found": p10_found,
