@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import cutoff, duplicates, garbling, leakage, wrappers
+from loomaudit.llm import cutoff, duplicates, garbling, leakage, prose, wrappers
 from loomaudit.sources.tables import table
 
 
@@ -13,6 +13,10 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return wrappers.body_lines(table(spark, root, "content_store"), table(spark, root, "page_features"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return prose.spam_pages(table(spark, root, "content_store"), table(spark, root, "page_features"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return duplicates.copies(table(spark, root, "page_features"))
 
@@ -71,6 +75,7 @@ sets AS (SELECT row_id, crawl_id, min(row_id) OVER w AS first_row_id, count(*) O
 
 QUERIES = {
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_sets": p6_sets,
     "p7_found": p7_found,
