@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import cutoff, duplicates, garbling, leakage, prose, wrappers
+from loomaudit.llm import cutoff, duplicates, garbling, leakage, prose, residue, wrappers
 from loomaudit.sources.tables import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    content, pages = table(spark, root, "content_store"), table(spark, root, "page_features")
+    model = residue.train(content, pages)
+    texts = residue.residue_texts(content, pages, model).withColumn("table_name", F.lit("content_store"))
+    titles = residue.residue_titles(pages, model).withColumn("table_name", F.lit("page_features"))
+    return texts.unionByName(titles).select("table_name", "record_key")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return wrappers.body_lines(table(spark, root, "content_store"), table(spark, root, "page_features"))
 
@@ -74,6 +82,7 @@ sets AS (SELECT row_id, crawl_id, min(row_id) OVER w AS first_row_id, count(*) O
 """
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
