@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.llm import cutoff, duplicates, garbling, leakage, prose, residue, wrappers
+from loomaudit.llm import cutoff, digests, duplicates, garbling, leakage, packing, prose, residue, wrappers
 from loomaudit.sources.tables import table
 
 
@@ -17,6 +17,34 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return texts.unionByName(titles).select("table_name", "record_key")
 
 
+FETCH_KEYS = ["site_key", "fetcher_id", "status", "day"]
+
+
+def p2_fetch_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    rows = digests.measured(table(spark, root, "page_fetches"))
+    return digests.percentiles_of(rows, FETCH_KEYS, ["load_time_ms", "size_bytes"], "event_id")
+
+
+def p2_fetch_counts(spark: SparkSession, root: str) -> DataFrame:
+    """The part of the result that SQL can say: groups, counts, and that every estimate is within its bound."""
+    return p2_fetch_percentiles(spark, root).select("site_key", "fetcher_id", "status", F.col("day").cast("string").alias("day"), "metric", F.col("n").cast("long").alias("n"), "within_bound")
+
+
+def p2_fetch_spans(spark: SparkSession, root: str) -> DataFrame:
+    rows = digests.measured(table(spark, root, "page_fetches"))
+    _, days = digests.day_digests(rows, FETCH_KEYS, ["load_time_ms", "size_bytes"], "event_id")
+    months = digests.spans(days, [*FETCH_KEYS, "metric"])
+    return digests.estimates(months, [*FETCH_KEYS, "metric"])
+
+
+def p2_transfer_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    crawls = table(spark, root, "crawls").groupBy("crawl_id").agg(F.min("site_key").alias("site_key"), F.to_date(F.min("started_at")).alias("day"))
+    pages = table(spark, root, "page_features").select(
+        "crawl_id", "status", "row_id", F.when(F.col("transfer_bytes") > 0, F.col("transfer_bytes")).alias("transfer_bytes")
+    )
+    return digests.percentiles_of(pages.join(crawls, "crawl_id").drop("crawl_id"), ["site_key", "status", "day"], ["transfer_bytes"], "row_id")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return wrappers.body_lines(table(spark, root, "content_store"), table(spark, root, "page_features"))
 
@@ -49,6 +77,14 @@ def p7_restored(spark: SparkSession, root: str) -> DataFrame:
     return _garbled(spark, root).filter("chains <> ''").select("table_name", "record_key", "chains", "restored", "whole")
 
 
+def p8_packed(spark: SparkSession, root: str) -> DataFrame:
+    return packing.packed(table(spark, root, "documents"), table(spark, root, "pack_limits"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, root))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
@@ -83,18 +119,30 @@ sets AS (SELECT row_id, crawl_id, min(row_id) OVER w AS first_row_id, count(*) O
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_fetch_percentiles": p2_fetch_percentiles,
+    "p2_fetch_counts": p2_fetch_counts,
+    "p2_fetch_spans": p2_fetch_spans,
+    "p2_transfer_percentiles": p2_transfer_percentiles,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_sets": p6_sets,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_evidence": p9_evidence,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
+_MEASURED = """
+SELECT site_key, fetcher_id, status, CAST(event_ts AT TIME ZONE 'UTC' AS DATE) AS day, metric, value FROM (
+  SELECT *, unnest(['load_time_ms', 'size_bytes']) AS metric, unnest([CAST(load_time_ms AS BIGINT), size_bytes]) AS value
+  FROM (SELECT * FROM page_fetches QUALIFY row_number() OVER (PARTITION BY event_id) = 1)) WHERE value > 0"""
+
 SQL = {
+    "p2_fetch_counts": f"SELECT site_key, fetcher_id, status, CAST(day AS VARCHAR) AS day, metric, count(*) AS n, true AS within_bound FROM ({_MEASURED}) GROUP BY ALL",
     "p6_found": _P6 + "SELECT first_row_id, row_id FROM sets WHERE row_id <> first_row_id",
     "p6_sets": _P6 + "SELECT DISTINCT crawl_id, first_row_id, copies FROM sets WHERE copies > 1",
 }
