@@ -9,7 +9,6 @@ then the new index replaces the old one.
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from dataclasses import dataclass
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomaudit.session import cut, get_text, swap_text
+
 BUCKETS = 256
 
 
@@ -107,11 +108,7 @@ class SnapshotIndex:
     buckets: int = BUCKETS
 
     def _current(self) -> str | None:
-        at = os.path.join(self.folder, "CURRENT")
-        if not os.path.exists(at):
-            return None
-        with open(at) as f:
-            return json.load(f)["version"]
+        return get_text(self.spark, os.path.join(self.folder, "CURRENT"))
 
     def entries(self, snapshot: DataFrame) -> DataFrame:
         return snapshot.select(
@@ -141,9 +138,9 @@ class SnapshotIndex:
                 old = previous.select(*self.keys, F.struct(*self.values).alias("was"))
                 changed = out.filter(F.col("change") == "changed").select(*self.keys)
                 out = out.join(old.join(changed, self.keys, "left_semi"), self.keys, "left")
-        with open(os.path.join(self.folder, "CURRENT.new"), "w") as f:
-            json.dump({"version": os.path.basename(new)}, f)
-        os.replace(os.path.join(self.folder, "CURRENT.new"), os.path.join(self.folder, "CURRENT"))
+        if out is not None:
+            out = cut(out)
+        swap_text(self.spark, os.path.join(self.folder, "CURRENT"), os.path.basename(new))
         if out is None:
             kept = snapshot.select(*self.keys).limit(0).withColumn("change", F.lit(None).cast("string"))
             return kept

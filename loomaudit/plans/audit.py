@@ -194,7 +194,7 @@ def user_sessions(spark: SparkSession, root: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.sum("fresh").alias("sessions"), F.count("*").alias("events"))
 
 
-@query("""WITH v AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i AS dim, round(avg(x), 4) AS mean FROM v GROUP BY ALL""")
+@query("""WITH v AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i AS dim, round(avg(x), 4) + 0.0 AS mean FROM v GROUP BY ALL""")
 def embedding_centroids(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return e.groupBy("label", (F.col("i") + 1).cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+    return e.groupBy("label", (F.col("i") + 1).cast("long").alias("dim")).agg((F.round(F.avg(F.col("x").cast("double")), 4) + 0.0).alias("mean"))

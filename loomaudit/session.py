@@ -57,3 +57,36 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where it was read from fewer files than there are cores; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text through Hadoop's file systems, None if there is none."""
+    jvm, at, fs = _files(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def swap_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file by a rename: readers see the old text or the new."""
+    jvm, at, fs = _files(spark, path)
+    new = jvm.org.apache.hadoop.fs.Path(path + ".new")
+    stream = fs.create(new, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(at), options)
