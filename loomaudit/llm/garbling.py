@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomaudit.operators.sampling import distinct_sample
 from loomaudit.session import spread
 
 #: fixed list of chains: each step is (written in, read as); the steps were done in this order
@@ -54,7 +55,7 @@ PROVABLE = {k for k, n in enumerate(NAMES) if CHAINS[n][0][0] == "utf-8" or n ==
 LETTERS = "äöüßéèêëàâîïôûùçœæáíóúñãõêąćęłńóśźżÿ" + "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 SIGNS = "–—’‘“”„«»…·€½¼¡¿°©»№×•§ "
 #: rows of each column that the classifier learns from, at most
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 2_000
 SIZE = 1 << 16
 #: nats by which the restored word must be likelier; for chains between single-byte tables, all such words of a line together
 MARGIN, LINE_MARGIN = 0.5, 9.0
@@ -277,14 +278,13 @@ def quoted(line: str, start: int, end: int, only: str | None = None) -> bool:
 def train(*columns: tuple[DataFrame, str], rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Fits the classifier to the clean non-ASCII words of the columns.
 
-    It learns from at most ``rows`` rows of each column, those with the
+    It learns from at most ``rows`` distinct values of each column, those with the
     smallest hashes; all else covers all rows.
     """
     words: Counter[str] = Counter()
     for df, c in columns:
-        odd = df.select(F.col(c).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7F]"))
-        for r in odd.orderBy(F.xxhash64("t")).limit(rows).collect():
-            words.update(WORD.findall(r["t"]))
+        for t in distinct_sample(df.filter(F.col(c).rlike(r"[^\x00-\x7F]")), c, rows):
+            words.update(WORD.findall(t))
     return fit([(w, n) for w, n in words.items() if len(w) <= 40 and is_clean(w)])
 
 
