@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 SHARD = 50_000
 #: fixed: the public word-punctuation tokenizer \w+|[^\w\s]+ with \w and \s as Unicode has them
 WORDS = r"[\p{L}\p{N}_]+"
-SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
+SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKENS = WORDS + r"|[^\p{L}\p{N}_" + SPACE + r"]+"
 
 
