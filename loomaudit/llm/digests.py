@@ -69,7 +69,7 @@ def dealt(rows: DataFrame, keys: list[str], spread: str) -> tuple[DataFrame, int
     others = max(1, -(-(hot["least"] or 0) // PART))
     most = max(others, -(-(hot["most"] or 0) // PART))
     if most == 1:
-        return rows.withColumn("_part", F.lit(0)), 1
+        return rows, 1
     big = counts.orderBy(F.desc("_n")).limit(HOT).select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)), F.ceil(F.col("_n") / PART).alias("_s"))
     same = F.lit(True)
     for i, k in enumerate(keys):
@@ -79,8 +79,8 @@ def dealt(rows: DataFrame, keys: list[str], spread: str) -> tuple[DataFrame, int
 
 
 def digests(values: DataFrame, keys: list[str], parts: int, size: int = SIZE) -> DataFrame:
-    """(keys, mean, weight, low, high) from rows with keys, _part and value."""
-    group = [*keys, "_part"]
+    """(keys, mean, weight, low, high) from rows with keys, value and, for several parts, _part."""
+    group = [*keys, "_part"] if parts > 1 else keys
     single = values.select(*group, F.col("value").cast("double").alias("mean"), F.lit(1).cast("long").alias("weight"))
     # equal values are one cluster at once: fewer rows to sort, and ties stay together
     single = single.groupBy(*group, "mean").agg(F.sum("weight").alias("weight"))
@@ -88,7 +88,7 @@ def digests(values: DataFrame, keys: list[str], parts: int, size: int = SIZE) ->
     while parts > 1:
         parts = -(-parts // FAN)
         out = merged(out.withColumn("_part", F.pmod(F.col("_part"), F.lit(parts))), group, size)
-    return out.drop("_part")
+    return out.drop("_part")  # which is 0 by now
 
 
 def estimates(digest: DataFrame, keys: list[str], percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
@@ -111,24 +111,29 @@ def _name(p: float) -> str:
     return f"p{p * 100:g}".replace(".", "_")
 
 
-def certified(values: DataFrame, found: DataFrame, keys: list[str], spread: str, percentiles: tuple[float, ...] = PERCENTILES, size: int = SIZE) -> DataFrame:
-    """found with ``rank_error``, the largest distance of an estimate's true ranks from its percentile as a share of n, and ``within_bound``."""
-    solid = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"_{k}") for k in keys]
-    named = [f"_{k}" for k in keys]
-    table = found.select(*solid, "n", *(_name(p) for p in percentiles), F.col("n").alias("w"))
-    joined = join_hot(values.select(*solid, "value", F.col(spread).alias("_id")), table, named, "w", "_id")
-    counts = []
-    for p in percentiles:
-        counts += [F.count_if(F.col("value") < F.col(_name(p))).alias(f"lt_{_name(p)}"), F.count_if(F.col("value") <= F.col(_name(p))).alias(f"le_{_name(p)}")]
-    passed = joined.groupBy(*named).agg(F.max("n").alias("n"), *counts)
-    worst = F.greatest(*(
-        F.greatest(F.col(f"lt_{_name(p)}") + 1 - F.ceil(F.col("n") * p), F.ceil(F.col("n") * p) - F.greatest(F.col(f"le_{_name(p)}"), F.col(f"lt_{_name(p)}") + 1), F.lit(0))
-        for p in percentiles
-    ), F.lit(0))
-    error = passed.select(*named, F.round(worst / F.col("n"), 6).alias("rank_error"))
-    back = found.select("*", *solid).join(error, named).drop(*named)
-    # one rank is the least step that an error can have
-    return back.withColumn("within_bound", F.col("rank_error") <= F.greatest(F.lit(bound(size)), 1.0 / F.col("n")))
+def rank_errors(rows: DataFrame, found: DataFrame, keys: list[str], metrics: list[str], spread: str | None, percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """(keys, metric, rank_error): the largest distance of an estimate's true ranks from its percentile, as a share of n.
+
+    ``rows`` has keys, none of them null, and the metrics as columns. If they
+    already lie by keys they are not shuffled; else ``spread`` salts hot keys.
+    """
+    wide = [F.sum("n").alias("_w")]
+    for m in metrics:
+        mine = F.col("metric") == m
+        wide += [F.max(F.when(mine, F.col("n"))).alias(f"{m}_n"), *(F.max(F.when(mine, F.col(_name(p)))).alias(f"{m}_{_name(p)}") for p in percentiles)]
+    table = found.groupBy(*keys).agg(*wide)
+    joined = join_hot(rows, table, keys, "_w", spread) if spread else rows.join(table, keys)
+    counts, errors = [], []
+    for m in metrics:
+        counts.append(F.max(f"{m}_n").alias(f"{m}_n"))
+        worst = [F.lit(0)]
+        for p in percentiles:
+            e, lt, le = (f"{m}_{_name(p)}", f"{m}_lt_{_name(p)}", f"{m}_le_{_name(p)}")
+            counts += [F.count_if(F.col(m) < F.col(e)).alias(lt), F.count_if(F.col(m) <= F.col(e)).alias(le)]
+            rank = F.ceil(F.col(f"{m}_n") * p)
+            worst.append(F.greatest(F.col(lt) + 1 - rank, rank - F.greatest(F.col(le), F.col(lt) + 1)))
+        errors.append(F.struct(F.lit(m).alias("metric"), F.round(F.greatest(*worst, F.lit(0)) / F.col(f"{m}_n"), 6).alias("rank_error")))
+    return joined.groupBy(*keys).agg(*counts).select(*keys, F.explode(F.array(*errors)).alias("e")).select(*keys, "e.metric", "e.rank_error")
 
 
 def measured(fetches: DataFrame) -> DataFrame:
@@ -151,19 +156,37 @@ def long_form(rows: DataFrame, keys: list[str], metrics: list[str], *keep: str)
     ).filter("value is not null")
 
 
-def day_digests(rows: DataFrame, keys: list[str], metrics: list[str], row_id: str, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(values of each row once, digests per keys and metric). One shuffle by group takes off copies and sorts."""
+def _once(rows: DataFrame, keys: list[str], row_id: str) -> tuple[DataFrame, int]:
+    """Each row once, lying by keys and part, and the number of parts."""
     parted, parts = dealt(rows, keys, row_id)
-    once = parted.repartition(*keys, "_part").dropDuplicates([*keys, "_part", row_id])
-    values = cut(once)
-    return long_form(values, keys, metrics, "_part", row_id), digests(long_form(values, keys, metrics, "_part"), [*keys, "metric"], parts, size)
+    by = [*keys, "_part"] if parts > 1 else keys
+    return parted.repartition(*by).dropDuplicates([*by, row_id]), parts
+
 
+def day_digests(rows: DataFrame, keys: list[str], metrics: list[str], row_id: str, size: int = SIZE) -> DataFrame:
+    """Digests per keys and metric. One shuffle serves for taking off copies, sorting and clustering."""
+    once, parts = _once(rows, keys, row_id)
+    return digests(long_form(once, keys, metrics, *(["_part"] if parts > 1 else [])), [*keys, "metric"], parts, size)
 
-def percentiles_of(rows: DataFrame, keys: list[str], metrics: list[str], row_id: str) -> DataFrame:
-    """(keys, metric, n, p50, p90, p95, p99, rank_error, within_bound); an empty table gives no rows, null keys are groups."""
-    values, digest = day_digests(rows, keys, metrics, row_id)
-    group = [*keys, "metric"]
-    return certified(values, estimates(digest, group), group, row_id)
+
+def percentiles_of(rows: DataFrame, keys: list[str], metrics: list[str], row_id: str, size: int = SIZE) -> DataFrame:
+    """(keys, metric, n, p50, p90, p95, p99, rank_error, within_bound); an empty table gives no rows, null keys are groups.
+
+    Rows are shuffled twice, once for the digests and once for counting, with
+    128 bits in place of their keys.
+    """
+    group = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]
+    coded = rows.withColumns({"_a": F.xxhash64(*group), "_b": F.xxhash64(F.lit(5), *group)})
+    ids = ["_a", "_b"]
+    names = coded.groupBy(*ids).agg(F.any_value(F.struct(*keys)).alias("_g"))
+    once, parts = _once(coded.select(*ids, row_id, *metrics), ids, row_id)
+    values = long_form(once, ids, metrics, *(["_part"] if parts > 1 else []))
+    found = cut(estimates(digests(values, [*ids, "metric"], parts, size), [*ids, "metric"]))
+    errors = rank_errors(once.drop("_part"), found, ids, metrics, row_id if parts > 1 else None)
+    out = found.join(errors, [*ids, "metric"]).join(names, ids)
+    # one rank is the least step that an error can have
+    within = F.col("rank_error") <= F.greatest(F.lit(bound(size)), 1.0 / F.col("n"))
+    return out.select(*(F.col(f"_g.{k}").alias(k) for k in keys), *(c for c in found.columns if c not in ids), "rank_error", within.alias("within_bound"))
 
 
 def spans(digest: DataFrame, keys: list[str], period: str = "month") -> DataFrame:

@@ -32,7 +32,7 @@ def p2_fetch_counts(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_fetch_spans(spark: SparkSession, root: str) -> DataFrame:
     rows = digests.measured(table(spark, root, "page_fetches"))
-    _, days = digests.day_digests(rows, FETCH_KEYS, ["load_time_ms", "size_bytes"], "event_id")
+    days = digests.day_digests(rows, FETCH_KEYS, ["load_time_ms", "size_bytes"], "event_id")
     months = digests.spans(days, [*FETCH_KEYS, "metric"])
     return digests.estimates(months, [*FETCH_KEYS, "metric"])
 

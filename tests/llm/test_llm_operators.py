@@ -21,7 +21,7 @@ def test_digest_errors_and_spans(spark):
     exact = sorted(r[3] for r in rows if r[1] == "g" and r[2] == "2024-01-01")
     got = next(r for r in out if r["site"] == "g" and str(r["day"]) == "2024-01-01")
     assert abs(got["p50"] - exact[len(exact) // 2]) < 0.05 * exact[len(exact) // 2] + 5
-    _, days = digests.day_digests(d, ["site", "day"], ["load"], "event_id")
+    days = digests.day_digests(d, ["site", "day"], ["load"], "event_id")
     month = digests.estimates(digests.spans(days, ["site", "day", "metric"]), ["site", "day", "metric"]).collect()
     assert {r["n"] for r in month} == {2000, 4000}
     values = sorted(r[3] for r in rows if r[1])
