@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomaudit.operators.sampling import distinct_sample
 from loomaudit.operators.skew import join_hot
-from loomaudit.session import spread
+from loomaudit.session import cut, spread
 
 #: fixed list of chains: each step is (written in, read as); the steps were done in this order
 CHAINS: dict[str, list[tuple[str, str]]] = {
@@ -318,5 +318,5 @@ def restored_titles(df: DataFrame, key: str, text: str, weights: np.ndarray) ->
     odd = df.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("t")).filter(F.col("record_key").isNotNull() & F.col("t").rlike(r"[^\x00-\x7F]"))
     values = odd.groupBy("t").agg(F.count("*").alias("n"))
     bad = restored(values.select("t", F.col("t").alias("v")), "t", "v", weights)
-    bad = bad.withColumnRenamed("record_key", "t").join(values, "t")
+    bad = cut(bad.withColumnRenamed("record_key", "t").join(values, "t"))
     return join_hot(odd, bad, ["t"], "n", "record_key").select("record_key", "chains", "restored", "whole")
