@@ -18,7 +18,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomaudit.session import cut as cut_lineage
 from loomaudit.session import spread
@@ -30,7 +29,7 @@ TERMINAL = r"[.!?。！？][\"'”’»“)\]\s]*$"
 OPEN = r"(?:[,;(\[{]|\p{L}[-‐‑/])\s*$"
 BREAK = r"[.!?。！？…]+[\"'”’»“)\]]*\s+|\n+"
 #: the end of a text that is looked at by itself; all of the text goes into the tries
-TAIL = 1000
+TAIL = 400
 #: sentences of more words than this are told by their form alone
 LONGEST = 12
 #: a sentence start goes on if it does so that many times as often as it ends
@@ -42,7 +41,6 @@ LABEL = 6
 
 
 _BREAK, _DOTS, _TOKENS = re.compile(BREAK), re.compile(DOTS), re.compile(r"^\s*[-*•–—]+|[^\W\d_]+|\d+")
-_KEYS = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("stem", T.LongType())])
 #: flush the per-task counts at so many different starts
 FLUSH = 400_000
 
@@ -65,17 +63,6 @@ def starts_of(words: list[str]) -> list[int]:
     return out
 
 
-@F.pandas_udf(_KEYS)
-def sentence_keys(sentences: pd.Series) -> pd.DataFrame:
-    rows = []
-    for s in sentences:
-        words = masked(s) if s else []
-        keys = starts_of(words)
-        fits = 0 < len(words) <= LONGEST
-        rows.append((len(words), keys[-1] if fits else None, keys[-2] if fits and len(words) > 1 else None))
-    return pd.DataFrame({"size": [r[0] for r in rows], "key": pd.array([r[1] for r in rows], "Int64"), "stem": pd.array([r[2] for r in rows], "Int64")})
-
-
 def count_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     full: Counter[int] = Counter()
     on: Counter[int] = Counter()
@@ -101,32 +88,53 @@ def count_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
+_MARK, _TERMINAL, _OPEN, _TOKEN = (re.compile(x) for x in (MARK, TERMINAL, OPEN.replace(r"\p{L}", r"[^\W\d_]"), r"[^\W\d_]+$"))
+TAIL_ROW = "doc_id long, source string, chars int, bytes int, sure string, size int, at_start boolean, alone boolean, token string, key long, stem long, print long"
+
+
+def judge_end(end: str | None, chars: int) -> tuple:
+    """(sure, size, at_start, alone, token, key, stem, print) of the end of a text; ``sure`` is None where the corpus must be asked."""
+    nothing = (None,) * 7
+    if end is None or not (end := end.rstrip()):
+        return "complete", *nothing
+    near = end[-60:]
+    if m := _MARK.search(near):
+        kept = end[: len(end) - len(near) + m.start()]
+        return "complete" if _TERMINAL.search(kept[-40:]) else "mark", *nothing
+    m = _DOTS.search(near)
+    kept = end[: len(end) - len(near) + m.start()] if m else end
+    if _OPEN.search(kept[-40:]) or end.endswith("�"):
+        return "open", *nothing
+    if not m and _TERMINAL.search(kept[-40:]):
+        return "complete", *nothing
+    line = kept.rpartition("\n")[2]
+    sentence = _BREAK.split(line)[-1]
+    words = masked(sentence)
+    keys = starts_of(words)
+    fits = 0 < len(words) <= LONGEST
+    token = t.group().lower() if (t := _TOKEN.search(kept[-100:])) else ""
+    return (
+        None, len(words), line.strip() == sentence.strip(), chars <= TAIL and kept.strip() == sentence.strip(), token,
+        keys[-1] if fits else None, keys[-2] if fits and len(words) > 1 else None, xxhash.xxh64_intdigest(kept) - 2**63,
+    )
+
+
 def tails(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """What the end of each text shows by itself; ``sure`` is null where the corpus must be asked."""
-    end = F.regexp_replace(F.right(F.col(text), F.lit(TAIL)), r"\s+$", "")
+    """TAIL_ROW of every text with an id: what its end shows by itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["sure", "size", "at_start", "alone", "token", "key", "stem", "print"]
+        for b in batches:
+            columns = dict(zip(names, zip(*(judge_end(e, c) for e, c in zip(b["end"], b["chars"]))))) if len(b) else {n: () for n in names}
+            out = {c: b[c] for c in ("doc_id", "source", "chars", "bytes")}
+            out |= {c: pd.array(v, "Int64") if c in ("size", "key", "stem", "print") else pd.Series(v, dtype=object) for c, v in columns.items()}
+            yield pd.DataFrame(out)
+
     d = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), end.alias("end"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.right(F.col(text), F.lit(TAIL)).alias("end"),
+        F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes"),
     ).filter(F.col("doc_id").isNotNull())
-    d = d.withColumn("marked", F.col("end").rlike(MARK)).withColumn("dots", ~F.col("marked") & F.col("end").rlike(DOTS))
-    d = d.withColumn("kept", F.when(F.col("dots"), F.regexp_replace("end", DOTS, "")).when(F.col("marked"), F.regexp_replace("end", MARK, "")).otherwise(F.col("end")))
-    stop, opened = F.col("kept").rlike(TERMINAL), F.col("kept").rlike(OPEN) | F.col("end").rlike("�$")
-    sure = (
-        F.when(F.col("end").isNull() | (F.col("end") == ""), F.lit("complete"))
-        .when(F.col("marked"), F.when(stop, F.lit("complete")).otherwise(F.lit("mark")))
-        .when(opened, F.lit("open"))
-        .when(~F.col("dots") & stop, F.lit("complete"))
-    )
-    line = F.regexp_extract("kept", r"([^\n]*)$", 1)
-    d = d.withColumn("sure", sure).withColumn("line", line).withColumn("sentence", F.element_at(F.split(F.col("line"), BREAK), -1))
-    d = d.withColumn("sentence", F.when(F.col("sure").isNull(), F.col("sentence"))).withColumn("k", sentence_keys("sentence"))
-    return d.select(
-        "doc_id", "source", "chars", "bytes", "sure",
-        "k.size", "k.key", "k.stem",
-        (F.trim("line") == F.trim("sentence")).alias("at_start"),
-        (F.trim("kept") == F.trim("sentence")).alias("alone"),
-        F.when(F.col("sure").isNull(), F.lower(F.regexp_extract("kept", r"(\p{L}+)$", 1))).alias("token"),
-        F.when(F.col("sure").isNull(), F.xxhash64("kept")).alias("print"),
-    )
+    return d.mapInPandas(run, TAIL_ROW)
 
 
 def letter_trie(docs: DataFrame, text: str, tokens: DataFrame) -> DataFrame:
@@ -193,7 +201,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     docs = spread(docs)
     d = cut_lineage(tails(docs, doc_id, text, source))
     unsure = d.filter(F.col("sure").isNull())
-    starts = word_trie(docs, text, unsure)
+    starts = cut_lineage(word_trie(docs, text, unsure))
     stems = starts.select(F.col("key").alias("stem"), F.col("on").alias("stem_on"))
     u = (
         unsure.join(letter_trie(docs, text, unsure), "token", "left")
