@@ -202,6 +202,20 @@ def test_body_lines(spark):
     assert wrappers.body_lines(content, pages.withColumn("template_fp", F.lit(None).cast("string"))).count() == 0
 
 
+def test_body_lines_with_changing_digits(spark):
+    consent = "This site shares usage data with {} partners of ours."
+    rows = []
+    for i in range(12):
+        k, c = chr(97 + i), consent.format(31 + 7 * i)
+        body = [f"Copper kettle {k}{k}", f"The kettle of the {k} guild is made of copper, and the {k}{k} choir mended it.", f"Width | {10 + i % 9} cm", f"Weight | {200 + i} g", c if i % 2 else f"Nobody in {k} town expected it to last.", f"{100 + i} crowns"]
+        rows.append((f"h{i}", "\n".join([c, "Home | Shop | Help | Contact", "Skip to the goods", *body, "You may also like", f"Other piece {i + 50}", "Terms | Privacy | Site map", f"Copyright 2025 Lund | build {300 + i}"])))
+    content, pages = tables(spark, rows)
+    got = {}
+    for r in wrappers.body_lines(content, pages).collect():
+        got.setdefault(r["hash"], set()).add(r["line_no"])
+    assert got == {h: {4, 5, 6, 7, 9} if i % 2 else {4, 5, 6, 7, 8, 9} for i, (h, _) in enumerate(rows)}
+
+
 def test_residue(spark):
     rows = site(30, prose_body)
     bad = site(1, lambda i: ["Copper kettle", "Hello {{customer.first}}, welcome to ${shop.city}."])[0][1]
