@@ -229,6 +229,19 @@ def test_residue(spark):
     assert {r["record_key"] for r in residue.residue_titles(titles, model).collect()} == {"1", "6", "7"}
 
 
+def test_residue_that_shows_only_as_judged(spark):
+    rows = site(30, prose_body)
+    wrong = garbling.garble("Произошла внутренняя ошибка. Повторите попытку позже.", "cp1251 as cp1252")
+    content, pages = tables(spark, [*rows, ("wrong", wrong + "\nGo back")])
+    model = residue.train(content, pages)
+    got = {r["record_key"]: r["kind"] for r in residue.residue_texts(content, pages, model).collect()}
+    assert got == {"wrong": "notice"}
+    # what line() finds in any line, the filter lets through
+    lines = [wrong, "Lorem ipsum.", "Our tea. Lorem ipsum. Our shop is warm.", "Page not found", "Add your text.", "404", *prose_body(1), *residue.seeds.ERROR.split("\n"), *residue.seeds.FILLER.split("\n")]
+    found = [x for x in lines if x and model.line(x)[0]]
+    assert len(found) > 100 and all(model.may_hold([x]) and model.may_hold([*prose_body(2), x, *prose_body(3)]) for x in found)
+
+
 def test_spam(spark):
     rows = site(40, prose_body)
     stuffed = site(1, lambda i: ["Copper kettle", " ".join(["kettle copper cheap buy best tea"] * 20)])[0][1]
