@@ -3,8 +3,9 @@
 Conflict-constrained best fit, the largest items first. Open bins stand in
 order of their residual room and carry bitmaps of their sources and duplicate
 clusters; the search for the smallest residual that is large enough goes on to
-the next until a bin is found that doesn't hold the item's cluster yet. Among
-equally tight bins one without the item's source comes first. Items are dealt
+the next until a bin is found that doesn't hold the item's cluster yet, nor,
+with ``per_source``, so many of its source. Without that limit, among equally
+tight bins one without the item's source comes first. Items are dealt
 to shards by their hash; every shard is packed by itself, which leaves at most
 a few bins a shard less full than one packing of everything would.
 """
@@ -30,16 +31,23 @@ def token_count(text: Column) -> Column:
 
 
 class Bins:
-    """The open bins of one shard and capacity."""
+    """The open bins of one shard and capacity.
+
+    Bins of one residual are grouped by their bitmap of sources: of those that
+    they hold, or, with ``per_source``, of those of which they hold that many.
+    Whole groups are passed over at once, so no bin is looked at only to find
+    that its sources don't suit.
+    """
 
     def __init__(self, capacity: int, per_source: int | None = None):
         self.capacity, self.per_source = capacity, per_source
-        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.at: list[dict[int, list[int]]] = [{} for _ in range(capacity + 1)]
         self.mask = 0
         self.sources: list[int] = []
         self.clusters: list[int] = []
         self.members: list[set[int]] = []
         self.counts: list[dict[int, int]] = []
+        self.bits: dict[int, int] = {}
 
     def _open(self) -> int:
         self.sources.append(0)
@@ -48,43 +56,56 @@ class Bins:
         self.counts.append({})
         return len(self.sources) - 1
 
-    def _fits(self, b: int, source: int, cluster: int) -> bool:
-        if self.clusters[b] >> (cluster & 63) & 1 and cluster in self.members[b]:
-            return False
-        return self.per_source is None or self.counts[b].get(source, 0) < self.per_source
+    def _holds(self, b: int, cluster: int) -> bool:
+        return bool(self.clusters[b] >> (cluster & 63) & 1) and cluster in self.members[b]
 
-    def _put(self, b: int, residual: int, source: int, cluster: int) -> None:
-        self.sources[b] |= 1 << (source & 63)
+    def _put(self, b: int, residual: int, bit: int, cluster: int) -> None:
+        if self.per_source is None:
+            self.sources[b] |= bit
+        else:
+            n = self.counts[b][bit] = self.counts[b].get(bit, 0) + 1
+            if n >= self.per_source:
+                self.sources[b] |= bit
         self.clusters[b] |= 1 << (cluster & 63)
         self.members[b].add(cluster)
-        if self.per_source is not None:
-            self.counts[b][source] = self.counts[b].get(source, 0) + 1
-        self.at[residual].append(b)
+        self.at[residual].setdefault(self.sources[b], []).append(b)
         self.mask |= 1 << residual
 
+    def _take(self, r: int, bit: int, cluster: int) -> int | None:
+        """A compatible bin of residual r, one without the source if there is one."""
+        groups = self.at[r]
+        for lacking in (True, False) if self.per_source is None else (True,):
+            for key, row in groups.items():
+                if bool(key & bit) is lacking:
+                    continue
+                for k in range(len(row) - 1, -1, -1):
+                    if not self._holds(row[k], cluster):
+                        b = row.pop(k)
+                        if not row:
+                            del groups[key]
+                            if not groups:
+                                self.mask &= ~(1 << r)
+                        return b
+        return None
+
     def place(self, need: int, source: int, cluster: int, start: int = 0) -> tuple[int, int]:
         """(bin, residual at which it was found): the tightest compatible bin from residual ``start`` on, or a new one."""
+        bit = self.bits.get(source)
+        if bit is None:
+            bit = self.bits[source] = 1 << len(self.bits)
         r = max(need, start)
         while True:
             above = self.mask >> r
             if not above:
                 break
             r += (above & -above).bit_length() - 1
-            row, found = self.at[r], -1
-            for k in range(len(row) - 1, -1, -1):
-                if self._fits(row[k], source, cluster):
-                    found = k
-                    if not self.sources[row[k]] >> (source & 63) & 1:
-                        break
-            if found >= 0:
-                b = row.pop(found)
-                if not row:
-                    self.mask &= ~(1 << r)
-                self._put(b, r - need, source, cluster)
+            b = self._take(r, bit, cluster)
+            if b is not None:
+                self._put(b, r - need, bit, cluster)
                 return b, r
             r += 1
         b = self._open()
-        self._put(b, self.capacity - need, source, cluster)
+        self._put(b, self.capacity - need, bit, cluster)
         return b, self.capacity + 1
 
 
@@ -100,8 +121,9 @@ def pack(items: Iterator[tuple], capacity: int, per_source: int | None = None) -
     def put(i, piece, size, source, cluster):
         nonlocal last, start
         # copies come one after another: none of the bins passed over for the last is open to the next
-        if (size, cluster) != last:
-            last, start = (size, cluster), 0
+        same = (size, cluster) if per_source is None else (size, cluster, source)
+        if same != last:
+            last, start = same, 0
         b, start = bins.place(size, source, cluster, start)
         return i, piece, size, b
 
@@ -153,8 +175,8 @@ def packed(
         F.xxhash64(F.regexp_replace(F.lower(body), r"\s+", " ")).alias("cluster"),
     )
     shards = max(1, -(-docs.count() // shard))
-    # copies are dealt over all shards like other texts, so a hot text doesn't fill one
-    dealt = items.repartition(shards, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards))).withColumn("shard", F.spark_partition_id())
+    # copies are dealt over all shards like other texts, so a hot text doesn't fill one; a shard is a task, without hashing its number again
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
     dealt = dealt.sortWithinPartitions(F.desc("size"), "cluster", "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

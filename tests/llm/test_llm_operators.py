@@ -162,6 +162,36 @@ def test_packing(spark):
     assert fill[fill.container_kind == "large"].unused_share.max() < 0.01 and fill.unused_share.max() < 0.05
 
 
+def test_every_shard_has_a_task(spark):
+    d = spark.range(6400).selectExpr("id as doc_id", "concat('text ', id) as text", "2 as n_tokens", "concat('s', id % 3) as source")
+    limits = spark.createDataFrame([("k", 64)], "container_kind string, capacity_tokens int")
+    for shards in (2, 8, 64):
+        out = packing.packed(d, limits, shard=6400 // shards).withColumn("task", F.spark_partition_id())
+        seen = out.select("task", F.split("bin_id", "-")[1].alias("shard")).distinct().collect()
+        assert len(seen) == shards == len({r["task"] for r in seen}) == len({r["shard"] for r in seen})
+
+
+def test_sources_as_a_limit(spark):
+    rng = random.Random(4)
+    items = sorted(((i, rng.randint(1, 30), i % 5, i) for i in range(3000)), key=lambda x: -x[1])
+    made = list(packing.pack(iter(items), 100, per_source=2))
+    held = {}
+    for i, _, size, b in made:
+        held.setdefault(b, []).append((i % 5, size))
+    assert all(sum(s for _, s in x) <= 100 and max([k for k, _ in x].count(j) for j in range(5)) <= 2 for x in held.values())
+    free = {m[3] for m in packing.pack(iter(items), 100)}
+    assert len(free) <= -(-sum(x[1] for x in items) // 100) + 1
+
+
+def test_many_bins_of_one_residual_stay_fast():
+    import time
+
+    items = [(i, 34, i % 3, i) for i in range(60_000)]
+    began = time.time()
+    assert len({m[3] for m in packing.pack(iter(items), 100, per_source=1)}) == 30_000
+    assert time.time() - began < 10
+
+
 def test_tokens_as_the_tokenizer_counts(spark):
     import re
 
