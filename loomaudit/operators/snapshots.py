@@ -1,7 +1,7 @@
 """Changes between consecutive full snapshots (problem 4).
 
-An index holds, for each key of the last snapshot, the bucket, the key and a
-128-bit hash of the compared values. A new snapshot probes it: keys that only
+A bucketed index holds, for each key of the last snapshot, a 128-bit hash of
+the compared values. A new snapshot probes it: keys that only
 the index has were removed, keys that only the snapshot has were added, keys
 with another hash were changed. Old values are fetched for changed keys alone,
 then the new index replaces the old one.
@@ -9,17 +9,19 @@ then the new index replaces the old one.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomaudit.session import cut, get_text, swap_text
+from loomaudit.session import cut, get_text, list_folder, remove, shared_dir, swap_text
 
-BUCKETS = 256
+#: rows of a bucket, about
+ROWS = 200_000
 
 
 def value_hash(columns: list[str]) -> Column:
@@ -47,101 +49,141 @@ def consecutive(crawls: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_changes(
-    rows: DataFrame,
-    crawls: DataFrame,
-    crawl_col: str,
-    key: str,
-    values: list[str],
-    latest: list[str],
-) -> DataFrame:
-    """(crawl_id, key, change) for every crawl after the first of its root.
-
-    All transitions are probed in one pass: each row is an entry of its own
-    snapshot and, as the index entry of the last snapshot, one of the next
-    crawl; both meet in the bucket of (crawl, key), so there is one shuffle and
-    no group larger than the copies of one page. Copies of a key count once,
-    by the largest ``latest``. Rows with a null key are left out; empty tables
-    give no rows. Two hashes differ if and only if the values do, but for a
-    chance of 2^-128.
-    """
-    order = consecutive(crawls).withColumnRenamed("crawl_id", "_crawl")
-    needed = list(dict.fromkeys([crawl_col, key, *values, *latest]))
-    entry = rows.select(*needed).filter(F.col(key).isNotNull())
-    entry = (
-        entry.join(order, F.col(crawl_col) == F.col("_crawl"))
-        .select("_crawl", "seq", "next_crawl_id", F.col(key).alias("_key"), F.struct(*latest).alias("_at"), value_hash(values).alias("_hash"))
-    )
-    # either one entry for its own crawl, or that and one more as the index of the next
-    as_new = F.struct(F.col("_crawl").alias("crawl"), F.lit(True).alias("new"), (F.col("seq") == 1).alias("first"))
-    as_old = F.struct(F.col("next_crawl_id").alias("crawl"), F.lit(False).alias("new"), F.lit(False).alias("first"))
-    both = entry.withColumn(
-        "_e", F.explode(F.when(F.col("next_crawl_id").isNull(), F.array(as_new)).otherwise(F.array(as_new, as_old)))
-    )
-    probed = both.groupBy(F.col("_e.crawl").alias("crawl_id"), "_key").agg(
-        F.max_by(F.when(F.col("_e.new"), F.col("_hash")), F.when(F.col("_e.new"), F.struct("_at", "_hash"))).alias("now"),
-        F.max_by(F.when(~F.col("_e.new"), F.col("_hash")), F.when(~F.col("_e.new"), F.struct("_at", "_hash"))).alias("was"),
-        F.bool_or("_e.first").alias("first"),
-    )
-    change = (
-        F.when(F.col("first"), F.lit(None))
-        .when(F.col("was").isNull(), F.lit("added"))
-        .when(F.col("now").isNull(), F.lit("removed"))
-        .when(F.col("now") != F.col("was"), F.lit("changed"))
-    )
-    return probed.select("crawl_id", F.col("_key").alias(key), change.alias("change")).filter(F.col("change").isNotNull())
-
-
 @dataclass
 class SnapshotIndex:
-    """The stored form for snapshots as they arrive: ``advance`` gives the changes and swaps the index.
-
-    The folder holds numbered versions, each partitioned by bucket, and a file
-    CURRENT that names the one in force; the swap is the rename of that file,
-    so a job that dies leaves the old index valid.
+    """The bucketed key-to-hash index of the last snapshot: ``advance`` gives the changes and swaps the index.
+
+    Each version is a bucketed table of its own in ``folder``: a new snapshot
+    is shuffled once, into the buckets, and meets the stored index bucket by
+    bucket without another shuffle of either side. A file CURRENT names the
+    version in force; the swap is the rename of that file, so a job that dies
+    leaves the old index valid, and what it left is removed by the next one.
+    The number of buckets follows from the first snapshot (ROWS rows a bucket)
+    and is set anew when a snapshot has grown or shrunk fourfold. One writer at
+    a time is assumed.
+
+    ``latest`` chooses between rows of the same key (the largest holds, equal
+    ones by the hash); without it the keys must be unique. ``carry`` are columns
+    kept beside the hash. Rows with a null key are left out.
     """
 
     spark: SparkSession
     folder: str
     keys: list[str]
     values: list[str]
-    buckets: int = BUCKETS
-
-    def _current(self) -> str | None:
-        return get_text(self.spark, os.path.join(self.folder, "CURRENT"))
-
-    def entries(self, snapshot: DataFrame) -> DataFrame:
-        return snapshot.select(
-            *self.keys, value_hash(self.values).alias("hash"), F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+    carry: list[str] = field(default_factory=list)
+    latest: list[str] = field(default_factory=list)
+    buckets: int | None = None
+
+    def _current(self) -> dict | None:
+        text = get_text(self.spark, os.path.join(self.folder, "CURRENT"))
+        return json.loads(text) if text else None
+
+    def _entries(self, snapshot: DataFrame, buckets: int) -> DataFrame:
+        known = F.lit(True)
+        for k in self.keys:
+            known = known & F.col(k).isNotNull()
+        e = snapshot.filter(known).select(*self.keys, *self.carry, value_hash(self.values).alias("hash"), F.struct(*(self.latest or [F.lit(0)])).alias("_at"))
+        e = e.repartition(buckets, *self.keys)
+        if self.latest:
+            # the rows of a key lie together already, so this is no second shuffle
+            kept = F.max_by(F.struct("hash", *self.carry), F.struct("_at", "hash", *self.carry)).alias("_kept")
+            e = e.groupBy(*self.keys).agg(kept).select(*self.keys, "_kept.*")
+        return e.select(*self.keys, *self.carry, "hash")
+
+    def _write(self, snapshot: DataFrame, buckets: int) -> dict:
+        name = f"loomaudit_index_{uuid.uuid4().hex}"
+        (
+            self._entries(snapshot, buckets).write.format("parquet").bucketBy(buckets, *self.keys).sortBy(*self.keys)
+            .option("path", os.path.join(self.folder, name)).saveAsTable(name)
+        )
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.table(name).schema.fields)
+        return {"table": name, "buckets": buckets, "schema": schema}
+
+    def _read(self, version: dict) -> DataFrame:
+        """The version's table; a session that didn't write it gets to know it first."""
+        if not self.spark.catalog.tableExists(version["table"]):
+            by = ", ".join(f"`{k}`" for k in self.keys)
+            at = os.path.join(self.folder, version["table"]).replace("'", "")
+            self.spark.sql(f"CREATE TABLE {version['table']} ({version['schema']}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {version['buckets']} BUCKETS LOCATION '{at}'")
+        return self.spark.table(version["table"])
+
+    def _remove_all_but(self, kept: str | None) -> None:
+        for name in list_folder(self.spark, self.folder):
+            if name.startswith("loomaudit_index_") and name != kept:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                remove(self.spark, os.path.join(self.folder, name))
+
+    def probe(self, was: DataFrame, now: DataFrame) -> DataFrame:
+        """(keys, change, was_<carry>, now_<carry>) of the keys in which two versions differ."""
+        side = lambda t, s: t.select(*self.keys, F.col("hash").alias(f"{s}_hash"), *(F.col(c).alias(f"{s}_{c}") for c in self.carry))
+        change = (
+            F.when(F.col("was_hash").isNull(), "added").when(F.col("now_hash").isNull(), "removed").when(F.col("now_hash") != F.col("was_hash"), "changed")
         )
+        pair = side(was, "was").join(side(now, "now").hint("merge"), self.keys, "full")
+        carried = [f"{s}_{c}" for s in ("was", "now") for c in self.carry]
+        return pair.select(*self.keys, change.alias("change"), *carried).filter(F.col("change").isNotNull())
 
     def advance(self, snapshot: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-        """(keys, change) and, where ``previous`` is given, the old values of changed keys in ``was``.
+        """(keys, change, was_<carry>, now_<carry>) and, where ``previous`` is given, the old values of changed keys in ``was``.
 
-        ``snapshot`` has unique keys; the first one gives no rows.
+        The first snapshot gives no rows; an empty one removes all keys.
         """
-        now = self.entries(snapshot)
-        version = self._current()
-        new = os.path.join(self.folder, f"index-{uuid.uuid4().hex}")
-        now.repartition(min(self.buckets, 64), "bucket").write.partitionBy("bucket").parquet(new)
-        out = None
-        if version:
-            stored = self.spark.read.parquet(os.path.join(self.folder, version))
-            now = self.spark.read.parquet(new)
-            on = ["bucket", *self.keys]
-            pair = stored.withColumnRenamed("hash", "was").join(now.withColumnRenamed("hash", "now"), on, "full")
-            change = (
-                F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("was"), "changed")
-            )
-            out = pair.select(*self.keys, change.alias("change")).filter(F.col("change").isNotNull())
+        stored = self._current()
+        self._remove_all_but(stored and stored["table"])
+        n = -(-snapshot.count() // ROWS)
+        wanted = self.buckets or max(1, n)
+        buckets = stored["buckets"] if stored and stored["buckets"] // 4 <= wanted <= stored["buckets"] * 4 else wanted
+        new = self._write(snapshot, buckets)
+        now = self._read(new)
+        if stored:
+            out = self.probe(self._read(stored), now)
             if previous is not None:
-                old = previous.select(*self.keys, F.struct(*self.values).alias("was"))
                 changed = out.filter(F.col("change") == "changed").select(*self.keys)
-                out = out.join(old.join(changed, self.keys, "left_semi"), self.keys, "left")
-        if out is not None:
+                old = previous.join(changed, self.keys, "left_semi").select(*self.keys, F.struct(*self.values).alias("was"))
+                out = out.join(old, self.keys, "left")
             out = cut(out)
-        swap_text(self.spark, os.path.join(self.folder, "CURRENT"), os.path.basename(new))
-        if out is None:
-            kept = snapshot.select(*self.keys).limit(0).withColumn("change", F.lit(None).cast("string"))
-            return kept
+        else:
+            out = self.probe(now, now).limit(0)
+            if previous is not None:
+                out = out.join(previous.select(*self.keys, F.struct(*self.values).alias("was")).limit(0), self.keys, "left")
+            out = cut(out)
+        swap_text(self.spark, os.path.join(self.folder, "CURRENT"), json.dumps(new))
+        self._remove_all_but(new["table"])
         return out
+
+    def drop(self) -> None:
+        """Removes the index and its folder."""
+        self._remove_all_but(None)
+        remove(self.spark, self.folder)
+
+
+def snapshot_changes(rows: DataFrame, crawls: DataFrame, crawl_col: str, key: str, values: list[str], latest: list[str]) -> DataFrame:
+    """(crawl_id, key, change) for every crawl after the first of its root, by an index that goes from crawl to crawl.
+
+    Step k advances one index of all roots by the k-th crawl of each, so there
+    are as many steps as the root with most crawls has; each reads its own
+    delivery, not all of them. Copies of a key count once, by the largest
+    ``latest``. Rows with a null key are left out; a crawl without rows removes
+    all pages of its root; empty tables give no rows. Two hashes differ if and
+    only if the values do, but for a chance of 2^-128.
+    """
+    spark = rows.sparkSession
+    order = consecutive(crawls).withColumnRenamed("crawl_id", "_crawl")
+    slim = rows.select(F.col(crawl_col).alias("_id"), F.col(key).alias("_key"), value_hash(values).alias("_value"), F.struct(*latest).alias("_latest"))
+    staged = slim.join(order, F.col("_id") == F.col("_crawl")).select("base_url", "_key", "_value", "_latest", "_crawl", "next_crawl_id", "seq")
+    # the deliveries by their number, each to be read alone
+    staged = cut(staged, "seq")
+    steps = order.agg(F.max("seq")).first()[0] or 0
+    index = SnapshotIndex(spark, os.path.join(shared_dir(spark), f"snapshots-{uuid.uuid4().hex}"), ["base_url", "_key"], ["_value"], ["_crawl", "next_crawl_id"], ["_latest"])
+    out = None
+    for k in range(1, steps + 1):
+        found = index.advance(staged.filter(F.col("seq") == k))
+        # a root without a next crawl has ended: its pages weren't removed
+        crawl = F.coalesce("now__crawl", "was_next_crawl_id")
+        found = found.select(crawl.alias("crawl_id"), F.col("_key").alias(key), "change").filter("crawl_id is not null")
+        out = found if out is None else out.unionByName(found)
+    index.drop()
+    if out is None:
+        return rows.select(F.col(crawl_col).cast("string").alias("crawl_id"), key, F.lit("added").alias("change")).limit(0)
+    return out

@@ -45,11 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: it is computed once, and a lost executor costs only a read."""
+def cut(df: DataFrame, *parts: str) -> DataFrame:
+    """Writes df to the shared folder, in a folder for each value of ``parts``, and reads it back: it is computed once, and a lost executor costs only a read."""
     spark = df.sparkSession
     at = os.path.join(shared_dir(spark), f"table-{uuid.uuid4().hex}")
-    df.write.parquet(at)
+    df.write.partitionBy(*parts).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -77,6 +77,17 @@ def get_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no folder."""
+    _, at, fs = _files(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _, at, fs = _files(spark, path)
+    fs.delete(at, True)
+
+
 def swap_text(spark: SparkSession, path: str, text: str) -> None:
     """Replaces a small file by a rename: readers see the old text or the new."""
     jvm, at, fs = _files(spark, path)

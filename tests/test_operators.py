@@ -27,14 +27,29 @@ def test_snapshot_changes(spark):
     assert changes(spark, crawls, []) == set() and changes(spark, [], pages) == set()
 
 
-def test_snapshot_index_steps_as_replay(spark, tmp_path):
-    days = [[("p", 1), ("q", 1)], [("p", 2), ("n", None)], [("p", 2), ("n", 3)]]
+def test_snapshot_of_ended_and_empty_crawls(spark):
+    crawls = [("a", "r", 1, "completed"), ("b", "r", 2, "completed"), ("c", "r", 3, "completed"), ("d", "s", 1, "completed"), ("e", "s", 2, "completed")]
+    pages = [("a", "p", 1, "t", 1, 1), ("c", "p", 1, "t", 1, 2), ("e", "q", 1, "t", 1, 3)]
+    assert changes(spark, crawls, pages) == {("b", "p", "removed"), ("c", "p", "added"), ("e", "q", "added")}
+
+
+def test_snapshot_index_steps(spark, tmp_path):
+    import os
+
+    days = [[("p", 1), ("q", 1)], [("p", 2), ("n", None)], [("p", 2), ("n", 3)], []]
     index = SnapshotIndex(spark, str(tmp_path), ["k"], ["v"], buckets=4)
     frames = [spark.createDataFrame(d, "k string, v int") for d in days]
     assert index.advance(frames[0]).count() == 0
     got = index.advance(frames[1], frames[0])
     assert {(r["k"], r["change"], r["was"] and r["was"]["v"]) for r in got.collect()} == {("p", "changed", 1), ("q", "removed", None), ("n", "added", None)}
     assert {tuple(r) for r in index.advance(frames[2]).collect()} == {("n", "changed")}
+    # a new session knows only the folder; old versions are gone
+    spark.sql(f"DROP TABLE {index._current()['table']}")
+    assert {tuple(r) for r in SnapshotIndex(spark, str(tmp_path), ["k"], ["v"], buckets=4).advance(frames[3]).collect()} == {("n", "removed"), ("p", "removed")}
+    assert len([x for x in os.listdir(tmp_path) if x.startswith("loomaudit_index_")]) == 1
+    plan = index.probe(*[spark.table(index._current()["table"])] * 2)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    index.drop()
 
 
 def test_join_hot(spark):
