@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomaudit.llm import cutoff, digests, duplicates, garbling, leakage, packing, prose, residue, wrappers
 
-PAGE = "content_hash string, template_fp string, title string"
+PAGE = "content_hash string, template_fp string, title string, normalized_url string"
 
 
 # problem 2
@@ -217,7 +217,7 @@ def prose_body(i):
 
 def tables(spark, rows):
     content = spark.createDataFrame(rows, "hash string, content string")
-    pages = spark.createDataFrame([(h, "t1", (t or "").split("\n")[3] if t and t.count("\n") > 3 else None) for h, t in rows], PAGE)
+    pages = spark.createDataFrame([(h, "t1", (t or "").split("\n")[3] if t and t.count("\n") > 3 else None, "https://lund.example/x") for h, t in rows], PAGE)
     return content, pages
 
 
