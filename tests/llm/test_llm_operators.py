@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomaudit.llm import cutoff, digests, duplicates, garbling, leakage, packing, prose, residue, wrappers
+from loomaudit.llm import cutoff, digests, duplicates, garbling, leakage, packing, prose, residue, residue_grammar, wrappers
 
 PAGE = "content_hash string, template_fp string, title string, normalized_url string"
 
@@ -266,10 +266,33 @@ def test_residue_that_shows_only_as_judged(spark):
     model = residue.train(content, pages)
     got = {r["record_key"]: r["kind"] for r in residue.residue_texts(content, pages, model).collect()}
     assert got == {"wrong": "notice"}
-    # what line() finds in any line, the filter lets through
-    lines = [wrong, "Lorem ipsum.", "Our tea. Lorem ipsum. Our shop is warm.", "Page not found", "Add your text.", "404", *prose_body(1), *residue.seeds.ERROR.split("\n"), *residue.seeds.FILLER.split("\n")]
-    found = [x for x in lines if x and model.line(x)[0]]
-    assert len(found) > 100 and all(model.may_hold([x]) and model.may_hold([*prose_body(2), x, *prose_body(3)]) for x in found)
+    # what is passed over at once is what sentence() leaves out
+    parts = [p for x in [wrong, "Our tea. Lorem ipsum dolor. Our shop is warm.", "404", "{{x}}", *prose_body(1), *residue_grammar.notices(60), *residue_grammar.filler(60)] for p in residue.judged(x)]
+    assert model.sentences(parts) == [model.sentence(p) for p in parts] and sum(map(bool, model.sentences(parts))) > 100
+
+
+def test_no_generated_line_stands_in_a_table():
+    import glob
+
+    import pandas as pd
+
+    if not glob.glob("/root/testdata/sf0.1/*.parquet"):
+        pytest.skip("no test tables")
+    lines = {x for f in (residue_grammar.filler, residue_grammar.fields, residue_grammar.notices, residue_grammar.about) for x in f()}
+    held = set()
+    for name, column in (("content_store", "content"), ("page_features", "title"), ("page_features", "description"), ("documents", "text")):
+        for t in pd.read_parquet(f"/root/testdata/sf0.1/{name}.parquet", columns=[column])[column].dropna():
+            held.update(residue.normal(x).strip() for x in t.split("\n"))
+    assert len(lines) > 10_000 and not lines & held
+
+
+def test_residue_of_templates_left_out():
+    prose = [x for i in range(400) for x in prose_body(i)]
+    for fold in range(residue_grammar.FOLDS):
+        model = residue.fit(prose, fold)
+        for make, least in ((residue_grammar.notices, 0.7), (residue_grammar.filler, 0.6)):
+            unseen = make(300, fold, True)
+            assert sum(map(bool, model.lines(unseen))) >= least * len(unseen)
 
 
 def test_spam(spark):
