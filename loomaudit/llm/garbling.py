@@ -58,12 +58,12 @@ SIGNS = "–—’‘“”„«»…·€½¼¡¿°©»№×•§ "
 #: rows of each column that the classifier learns from, at most
 SAMPLE_ROWS = 2_000
 SIZE = 1 << 16
-#: nats by which the restored word must be likelier; for chains between single-byte tables, all such words of a line together
+#: nats by which a chain must be likelier than clean text; for chains between single-byte tables, all such words of a line together
 MARGIN, LINE_MARGIN = 0.5, 9.0
+#: what each bigram counts before any is seen
+ADD = 0.02
 #: copies of a training word that count, at most
 HEAVIEST = 100
-UNSEEN = 1e-4
-CANDIDATES = 12.0
 WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
 QUOTES = {"“": "”", '"': '"', "«": "»", "„": "“", "‘": "’", "'": "'", "`": "`"}
 
@@ -143,67 +143,55 @@ def is_clean(word: str) -> bool:
     return len(letters) <= 1 + sum(c.isalpha() for c in word) // 2 and not re.search("[ãâ][" + SIGNS + "]", low)
 
 
-def pairs(word: str) -> np.ndarray:
-    codes = np.frombuffer(f" {word} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-    return (codes[:-1] * 4099 + codes[1:]) % SIZE
-
-
 def fit(words: list[tuple[str, int]]) -> np.ndarray:
-    """SIZE x (clean, each chain, next): log likelihoods of hashed byte bigrams, and of a character after the one before in clean words."""
-    counts = np.full((SIZE, 1 + len(NAMES)), 0.02)
-    after = np.zeros(SIZE)
+    """SIZE x (clean, each chain): log likelihoods of hashed byte bigrams."""
+    counts = np.full((SIZE, 1 + len(NAMES)), ADD)
     for w, n in words:
         weight = min(n, HEAVIEST) ** 0.5
         for form in {w, w.upper()}:
             np.add.at(counts[:, 0], bigrams(form), weight)
-            np.add.at(after, pairs(form), weight)
             for k, chain in enumerate(NAMES):
                 g = garble(form, chain)
                 if g is not None and g != form:
                     np.add.at(counts[:, k + 1], bigrams(g), weight)
-    # a pair's share among those with its first character, which the hash alone doesn't tell
-    totals: dict[str, float] = {}
-    for w, n in words:
-        for form in {w, w.upper()}:
-            for c in f" {form}":
-                totals[c] = totals.get(c, 0.0) + min(n, HEAVIEST) ** 0.5
-    step = np.full(SIZE, np.log(UNSEEN))
-    for w, _ in words:
-        for form in {w, w.upper()}:
-            for c, at in zip(f" {form}", pairs(form)):
-                step[at] = np.log(max(UNSEEN, after[at] / (totals[c] + 1.0)))
-    return np.hstack([np.log(counts / counts.sum(axis=0)), step.reshape(SIZE, 1)]).astype(np.float32)
+    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
 class Restorer:
     def __init__(self, weights: np.ndarray, cache: int = 300_000):
-        self.weights, self.clean, self.cache, self.size = weights[:, :-1], weights[:, -1], {}, cache
+        self.weights, self.cache, self.size = weights, {}, cache
         self.peaks: dict[str, float] = {}
 
-    def likely(self, word: str) -> float:
-        return float(self.clean[pairs(word)].sum())
-
     def word(self, w: str) -> tuple[tuple[int, float, str] | None, dict[int, tuple[float, str]]]:
-        """The likeliest chain through UTF-8 with its nats and the word restored, and nats and word for every chain of single bytes.
+        """The chain through UTF-8 that the classifier predicts, with its nats against clean text and the word restored; and nats and word for every chain of single bytes.
 
-        A chain through UTF-8 counts if the classifier holds it likely; its
-        strict decoding proves it. Chains of single bytes undo nearly anything
-        and are weighed over a line.
+        Chains are tried in the order in which the classifier holds them
+        likely, as far as it doesn't hold the word for clean; the first whose
+        inverse decodes strictly is taken. Chains of single bytes undo nearly
+        anything, so for them the classifier must also hold the result for
+        clean, and its nats are summed over a line.
         """
         got = self.cache.get(w)
         if got is None:
-            scores, asis, proven, single = self.weights[bigrams(w)].sum(axis=0), self.likely(w), None, {}
-            for k, name in enumerate(NAMES):
-                if k in PROVABLE and scores[k + 1] < scores.max() - CANDIDATES:
+            scores = self.weights[bigrams(w)].sum(axis=0)
+            gains = scores[1:] - scores[0]
+            proven, single = None, {}
+            # signs and single letters tell nothing of chains that undo nearly anything
+            letters = any(ord(c) > 127 and (c.isalpha() or c not in SIGNS and c not in "‹›") for c in w) and len(w.strip(SIGNS + ".,:;!?()[]")) > 1
+            for k in np.argsort(-gains, kind="stable").tolist():
+                if k in PROVABLE and (proven is not None or gains[k] < MARGIN):
+                    continue
+                if k not in PROVABLE and not letters:
                     continue
-                plain = invert(w, name)
+                plain = invert(w, NAMES[k])
                 if plain is None or plain == w or any(0x80 <= ord(c) < 0xA0 for c in plain):
                     continue
-                gain = self.likely(plain) - asis
-                if k not in PROVABLE:
-                    single[k] = (gain, plain)
-                elif gain >= MARGIN and (proven is None or gain > proven[1]):
-                    proven = (k, gain, plain)
+                if k in PROVABLE:
+                    proven = (k, float(gains[k]), plain)
+                elif is_clean(plain):
+                    # the restored word must also be likelier in the clean class than the word as it stands
+                    clean = float(self.weights[bigrams(plain), 0].sum()) - float(scores[0])
+                    single[k] = (min(float(gains[k]), clean), plain)
             got = (proven, single)
             if len(self.cache) < self.size:
                 self.cache[w] = got
