@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,10 +29,8 @@ DOTS = r"\s*(?:\.{2,}|…)\s*$"
 TERMINAL = r"[.!?。！？][\"'”’»“)\]\s]*$"
 OPEN = r"(?:[,;(\[{]|\p{L}[-‐‑/])\s*$"
 BREAK = r"[.!?。！？…]+[\"'”’»“)\]]*\s+|\n+"
-#: the end of a text that is looked at by itself; all of the text goes into the tries
-TAIL = 400
-#: sentences of more words than this are told by their form alone
-LONGEST = 12
+#: bits of the filter of keys that some end asks for; its size doesn't grow, beyond about a tenth as many keys it only lets more through
+BITS = 1 << 26
 #: a sentence start goes on if it does so that many times as often as it ends
 GOES_ON = 3
 #: share of a source's unfinished texts within SLACK characters below one length that makes a pile, and least number
@@ -55,15 +54,16 @@ def masked(sentence: str) -> list[str]:
 
 
 def starts_of(words: list[str]) -> list[int]:
-    """A 64-bit key for each start of up to LONGEST words."""
+    """A 64-bit key for each start of the sentence."""
     h, out = xxhash.xxh64(), []
-    for w in words[:LONGEST]:
+    for w in words:
         h.update(w + "\x1f")
         out.append(h.intdigest() - 2**63)
     return out
 
 
-def count_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_starts(batches: Iterator[pd.DataFrame], wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+    """How often each start of a sentence that passes the filter is the whole one, and how often it goes on."""
     full: Counter[int] = Counter()
     on: Counter[int] = Counter()
 
@@ -72,15 +72,20 @@ def count_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"key": keys, "full": [full[k] for k in keys], "on": [on[k] for k in keys]}).astype("int64")
 
     for b in batches:
+        keys: list[int] = []
+        ends: list[int] = []
         for text in b["text"]:
             for s in _BREAK.split(text):
-                words = masked(_DOTS.sub("", s)) if s else []
-                if not words:
-                    continue
-                keys = starts_of(words)
-                if len(words) <= LONGEST:
-                    full[keys.pop()] += 1
-                on.update(keys)
+                if words := masked(_DOTS.sub("", s)) if s else []:
+                    keys += starts_of(words)
+                    ends.append(len(keys) - 1)
+        if keys:
+            a = np.array(keys, np.int64)
+            whole = np.zeros(len(a), bool)
+            whole[ends] = True
+            hit = passes(a, wanted)
+            full.update(a[hit & whole].tolist())
+            on.update(a[hit & ~whole].tolist())
         if len(on) + len(full) > FLUSH:
             yield out()
             full.clear()
@@ -88,12 +93,43 @@ def count_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-_MARK, _TERMINAL, _OPEN, _TOKEN = (re.compile(x) for x in (MARK, TERMINAL, OPEN.replace(r"\p{L}", r"[^\W\d_]"), r"[^\W\d_]+$"))
+def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u = keys.astype(np.uint64)
+    return (u & np.uint64(BITS - 1)).astype(np.int64), ((u >> np.uint64(32)) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def passes(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for at in _bits(keys):
+        out &= (wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of BITS bits of the column ``key``; tasks set bits, the driver joins at most BITS / 64 words."""
+    u = F.col("key")
+    low = u.bitwiseAND(F.lit(BITS - 1))
+    high = F.shiftrightunsigned(u, 32).bitwiseAND(F.lit(BITS - 1))
+    bits = keys.select(F.explode(F.array(low, high)).alias("b"))
+    rows = bits.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toPandas()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint64)
+    return out.view(np.uint8)
+
+
+_MARK, _TERMINAL, _OPEN = (re.compile(x) for x in (MARK, TERMINAL, OPEN.replace(r"\p{L}", r"[^\W\d_]")))
 TAIL_ROW = "doc_id long, source string, chars int, bytes int, sure string, size int, at_start boolean, alone boolean, token string, key long, stem long, print long"
 
 
-def judge_end(end: str | None, chars: int) -> tuple:
-    """(sure, size, at_start, alone, token, key, stem, print) of the end of a text; ``sure`` is None where the corpus must be asked."""
+def _last_token(text: str) -> str:
+    i = len(text)
+    while i and text[i - 1].isalpha():
+        i -= 1
+    return text[i:].lower()
+
+
+def judge_end(end: str | None) -> tuple:
+    """(sure, size, at_start, alone, token, key, stem, print) of a text by its end; ``sure`` is None where the corpus must be asked."""
     nothing = (None,) * 7
     if end is None or not (end := end.rstrip()):
         return "complete", *nothing
@@ -111,11 +147,9 @@ def judge_end(end: str | None, chars: int) -> tuple:
     sentence = _BREAK.split(line)[-1]
     words = masked(sentence)
     keys = starts_of(words)
-    fits = 0 < len(words) <= LONGEST
-    token = t.group().lower() if (t := _TOKEN.search(kept[-100:])) else ""
     return (
-        None, len(words), line.strip() == sentence.strip(), chars <= TAIL and kept.strip() == sentence.strip(), token,
-        keys[-1] if fits else None, keys[-2] if fits and len(words) > 1 else None, xxhash.xxh64_intdigest(kept) - 2**63,
+        None, len(words), line.strip() == sentence.strip(), kept.strip() == sentence.strip(), _last_token(kept),
+        keys[-1] if keys else None, keys[-2] if len(keys) > 1 else None, xxhash.xxh64_intdigest(kept) - 2**63,
     )
 
 
@@ -125,13 +159,13 @@ def tails(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["sure", "size", "at_start", "alone", "token", "key", "stem", "print"]
         for b in batches:
-            columns = dict(zip(names, zip(*(judge_end(e, c) for e, c in zip(b["end"], b["chars"]))))) if len(b) else {n: () for n in names}
+            columns = dict(zip(names, zip(*map(judge_end, b["text"])))) if len(b) else {n: () for n in names}
             out = {c: b[c] for c in ("doc_id", "source", "chars", "bytes")}
             out |= {c: pd.array(v, "Int64") if c in ("size", "key", "stem", "print") else pd.Series(v, dtype=object) for c, v in columns.items()}
             yield pd.DataFrame(out)
 
     d = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.right(F.col(text), F.lit(TAIL)).alias("end"),
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"),
         F.coalesce(F.length(text), F.lit(0)).alias("chars"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes"),
     ).filter(F.col("doc_id").isNotNull())
     return d.mapInPandas(run, TAIL_ROW)
@@ -165,7 +199,10 @@ def word_trie(docs: DataFrame, text: str, ends: DataFrame) -> DataFrame:
     Ends of unsure texts count as whole sentences only if different texts have them.
     """
     texts = docs.select(F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    counts = texts.mapInPandas(count_starts, "key bigint, full bigint, on bigint").groupBy("key").agg(F.sum("full").alias("full"), F.sum("on").alias("on"))
+    keys = ends.select(F.explode(F.array("key", "stem")).alias("key")).filter("key is not null")
+    given = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
+    counted = texts.mapInPandas(lambda batches: count_starts(batches, given.value), "key bigint, full bigint, on bigint")
+    counts = counted.groupBy("key").agg(F.sum("full").alias("full"), F.sum("on").alias("on"))
     end = ends.filter(F.col("key").isNotNull()).select("key", F.lit(1).alias("own_full"), F.lit(0).alias("own_on"), "print")
     stem = ends.filter(F.col("stem").isNotNull()).select(F.col("stem").alias("key"), F.lit(0).alias("own_full"), F.lit(1).alias("own_on"), F.lit(None).cast("bigint").alias("print"))
     wanted = end.unionByName(stem).groupBy("key").agg(

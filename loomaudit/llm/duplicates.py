@@ -30,8 +30,8 @@ OTHER = re.compile(r"[\W_]+")
 ENTRIES = 500_000
 
 
-def identifier(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+def identifier(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - 2**63
 
 
 def canonical(text: str) -> str:
@@ -46,17 +46,17 @@ def field_parts(text: str) -> list[str] | None:
 
 
 class Dictionary(dict):
-    """Distinct value to (identifier of its letters and digits or None, identifier of its sorted fields or None)."""
+    """Distinct value to (identifier of its letters and digits or None, identifier of its sorted fields or None, another identifier)."""
 
-    def __missing__(self, text: str | None) -> tuple[int | None, int | None]:
+    def __missing__(self, text: str | None) -> tuple[int | None, int | None, int]:
         if text is None:
-            return None, None
+            return None, None, 0
         if len(self) >= ENTRIES:
             self.clear()
         whole = canonical(text)
         parts = field_parts(text)
         fields = identifier(",".join(map(str, sorted(identifier(canonical(p)) for p in parts)))) if parts else None
-        self[text] = got = (identifier(whole) if whole else None, fields)
+        self[text] = got = (identifier(whole) if whole else None, fields, identifier(whole, 1))
         return got
 
 
@@ -72,13 +72,14 @@ def encode(rows: DataFrame, group: str, row_id: str, title: str, description: st
         for b in batches:
             out = []
             for g, i, t, d in zip(b["g"], b["id"], b["t"], b["d"]):
-                (ti, _), (whole, fields) = titles[t], descriptions[d]
+                (ti, _, other), (whole, fields, _) = titles[t], descriptions[d]
                 if ti is None and whole is None:
                     continue
                 gi = groups.get(g)
                 if gi is None:
                     gi = groups[g] = identifier(g)
-                out.append((hash((gi, ti or 0)), whole or 0, fields, i))
+                # a record without a description is told by a second identifier of its title
+                out.append((hash((gi, ti or 0)), hash((other, gi, 1)) if whole is None else whole, fields, i))
             f = pd.DataFrame(out, columns=["_gt", "_whole", "_fields", "_id"])
             f["_fields"] = f["_fields"].astype("Int64")
             yield f
@@ -134,12 +135,12 @@ def copies(rows: DataFrame, group: str = "crawl_id", row_id: str = "row_id", tit
     null text is the same as empty, an empty table gives no rows. Hot sets are
     pre-aggregated and salted, nothing is collected.
     """
-    codes = encode(rows, group, row_id, title, description)
+    codes = cut(encode(rows, group, row_id, title, description))
     pairs = join_hot(codes.select("_gt", "_whole", "_id"), copy_sets(codes).drop("copies"), ["_gt", "_whole"], "n", "_id")
     return pairs.filter(F.col("_id") != F.col("first")).select(F.col("first").alias("first_row_id"), F.col("_id").alias("row_id"))
 
 
 def representatives(rows: DataFrame, group: str = "crawl_id", row_id: str = "row_id", title: str = "title", description: str = "description") -> DataFrame:
     """(group, first_row_id, copies): one record per set of two or more."""
-    sets = copy_sets(encode(rows, group, row_id, title, description)).groupBy("first").agg(F.max("copies").alias("copies"))
+    sets = copy_sets(cut(encode(rows, group, row_id, title, description))).groupBy("first").agg(F.max("copies").alias("copies"))
     return sets.join(rows.select(group, F.col(row_id).alias("first")), "first").select(group, F.col("first").alias("first_row_id"), "copies")

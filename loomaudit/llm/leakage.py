@@ -1,9 +1,10 @@
 """Evaluation passages inside corpus texts (problem 9).
 
 One Aho-Corasick automaton holds every run of SEED words of the items' own
-passages (and whole passages shorter than that). Texts are normalised to
-words with their character offsets and scanned once; each hit gives an
-alignment of text to passage, which is then checked word by word.
+passages (and whole passages shorter than that), and their answers. Texts are
+normalised to words with their character offsets and scanned once; each hit
+gives an alignment of text to passage, which is then checked word by word. An
+answer alone is no leak, as it may stand anywhere; it is told beside one.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomaudit.session import spread
 
 SEED = 4
 WINDOW = 15
@@ -22,7 +26,8 @@ WINDOW = 15
 EXCHANGED = 2
 #: a word that at most so many passages hold is rare: names and numbers tell a passage from another of the same form
 RARE = 3
-MAX_ITEMS = 200_000
+#: items of one automaton; more are scanned in blocks
+BLOCK = 20_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -66,17 +71,20 @@ def own_passages(items: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
 
 
 class Scanner:
-    def __init__(self, passages: list[tuple[int, list[str]]], seed: int = SEED):
+    """The automaton of some passages, which are (item_id, words, answer words); ``holders`` counts passages by word over all of them."""
+
+    def __init__(self, passages: list[tuple[int, list[str], list[str]]], holders: Counter[str], seed: int = SEED):
         import ahocorasick
 
         self.passages, self.seed = passages, seed
-        holders = Counter(w for _, p in passages for w in set(p))
-        self.rare = [[holders[w] <= RARE for w in p] for _, p in passages]
+        self.rare = [[holders[w] <= RARE for w in p] for _, p, _ in passages]
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, w) in enumerate(passages):
+        for k, (_, w, answer) in enumerate(passages):
             n = min(seed, len(w))
             for i in range(len(w) - n + 1):
                 at[" " + " ".join(w[i : i + n]) + " "].append((k, i))
+            if answer:
+                at[" " + " ".join(answer) + " "].append((k, -1))
         self.automaton = ahocorasick.Automaton()
         for key, places in at.items():
             self.automaton.add_word(key, (key.count(" ") - 1, places))
@@ -84,8 +92,8 @@ class Scanner:
             self.automaton.make_automaton()
         self.empty = not at
 
-    def scan(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, words that agree in the best window, start, end): offsets in the text as given."""
+    def scan(self, text: str) -> list[tuple[int, int, int, int, bool]]:
+        """(item_id, words that agree in the best window, start, end, whether the answer stands in the text): offsets in the text as given."""
         if self.empty or not text:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
@@ -98,10 +106,14 @@ class Scanner:
             n += len(w) + 1
         lines = " " + " ".join(doc) + " "
         hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+        answered: set[int] = set()
         for end, (length, places) in self.automaton.iter(lines):
             first = bisect_right(starts, end - 1) - length
             for k, i in places:
-                hits[k, first - i].append(i)
+                if i < 0:
+                    answered.add(k)
+                else:
+                    hits[k, first - i].append(i)
         best: dict[int, tuple[int, int, int]] = {}
         for (k, d), found in hits.items():
             passage = self.passages[k][1]
@@ -116,7 +128,7 @@ class Scanner:
             if score >= need - allowed and score > best.get(k, (0, 0, 0))[0]:
                 held = [j for j in range(lo, hi) if same[j - lo]]
                 best[k] = (score, spans[held[0] + d][0], spans[held[-1] + d][1])
-        return [(self.passages[k][0], *b) for k, b in best.items()]
+        return [(self.passages[k][0], *b, k in answered) for k, b in best.items()]
 
     @staticmethod
     def _best(same: list[bool], rare: list[bool], need: int) -> int:
@@ -133,27 +145,38 @@ class Scanner:
         return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, words, begins, ends): every text that holds an item's own passage.
+def leaks(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer", block: int = BLOCK
+) -> DataFrame:
+    """(doc_id, item_id, words, begins, ends, answered): every text that holds an item's own passage.
 
     At least WINDOW passage words in a row (or the whole passage, if shorter)
-    with at most EXCHANGED of them different, and of the rare words among
-    them at most half. Null and empty texts and items
-    give no rows; copies of a text are separate rows, a repeated item counts
-    once per item_id. Items are a fixed set: they are collected, and more than
-    MAX_ITEMS raise an error instead of being cut.
+    with at most EXCHANGED of them different, and at least half of the rare
+    words among them the same. ``answered``: the item's answer stands in the
+    text too. Null and empty texts and items give no rows; copies of a text
+    are separate rows, a repeated item counts once per item_id, a missing
+    column of answers is one of nulls. Items are a held-out set and are read on
+    the driver; automata of ``block`` of them each are built there once and
+    scanned one after another.
     """
     spark = docs.sparkSession
-    got = items.select(item_id, item_text).where(f"{item_id} is not null and {item_text} is not null").distinct().limit(MAX_ITEMS + 1).collect()
-    if len(got) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items; scan them in blocks")
-    passages = spark.sparkContext.broadcast(own_passages([(r[0], r[1]) for r in got]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(passages.value)
-        for b in batches:
-            rows = [(d, *hit) for d, t in zip(b["d"], b["t"]) for hit in scanner.scan(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "begins", "ends"])
-
-    slim = docs.selectExpr(f"cast({doc_id} as bigint) d", f"{text} t").where("d is not null and t is not null")
-    return slim.mapInPandas(run, "doc_id bigint, item_id bigint, words int, begins int, ends int").dropDuplicates(["doc_id", "item_id"])
+    answers = F.col(answer) if answer in items.columns else F.lit(None).cast("string")
+    got = items.select(item_id, item_text, answers).where(f"{item_id} is not null and {item_text} is not null").distinct().collect()
+    said = {r[0]: words(r[2] or "") for r in got}
+    passages = [(i, w, said[i]) for i, w in own_passages([(r[0], r[1]) for r in got])]
+    holders = Counter(w for _, p, _ in passages for w in set(p))
+    slim = spread(docs.selectExpr(f"cast({doc_id} as bigint) d", f"{text} t").where("d is not null and t is not null"))
+    schema = "doc_id bigint, item_id bigint, words int, begins int, ends int, answered boolean"
+    out = None
+    for k in range(0, max(1, len(passages)), block):
+        given = spark.sparkContext.broadcast(Scanner(passages[k : k + block], holders))
+
+        def run(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
+            scanner = given.value
+            for b in batches:
+                rows = [(d, *hit) for d, t in zip(b["d"], b["t"]) for hit in scanner.scan(t)]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "begins", "ends", "answered"])
+
+        found = slim.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out.dropDuplicates(["doc_id", "item_id"])

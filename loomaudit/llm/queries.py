@@ -26,23 +26,30 @@ def p2_fetch_percentiles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_fetch_counts(spark: SparkSession, root: str) -> DataFrame:
-    """The part of the result that SQL can say: groups, counts, and that every estimate is within its bound."""
-    return p2_fetch_percentiles(spark, root).select("site_key", "fetcher_id", "status", F.col("day").cast("string").alias("day"), "metric", F.col("n").cast("long").alias("n"), "within_bound")
+    """The part of the result that SQL can say: groups and counts."""
+    return p2_fetch_percentiles(spark, root).select("site_key", "fetcher_id", "status", F.col("day").cast("string").alias("day"), "metric", F.col("n").cast("long").alias("n"))
 
 
 def p2_fetch_spans(spark: SparkSession, root: str) -> DataFrame:
     rows = digests.measured(table(spark, root, "page_fetches"))
-    days = digests.day_digests(rows, FETCH_KEYS, ["load_time_ms", "size_bytes"], "event_id")
-    months = digests.spans(days, [*FETCH_KEYS, "metric"])
-    return digests.estimates(months, [*FETCH_KEYS, "metric"])
+    return digests.spans_of(rows, FETCH_KEYS, ["load_time_ms", "size_bytes"], "event_id")
 
 
-def p2_transfer_percentiles(spark: SparkSession, root: str) -> DataFrame:
+def _transfers(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of pages whose crawl isn't known have no site and day, and are groups of their own."""
     crawls = table(spark, root, "crawls").groupBy("crawl_id").agg(F.min("site_key").alias("site_key"), F.to_date(F.min("started_at")).alias("day"))
     pages = table(spark, root, "page_features").select(
         "crawl_id", "status", "row_id", F.when(F.col("transfer_bytes") > 0, F.col("transfer_bytes")).alias("transfer_bytes")
     )
-    return digests.percentiles_of(pages.join(crawls, "crawl_id").drop("crawl_id"), ["site_key", "status", "day"], ["transfer_bytes"], "row_id")
+    return pages.join(crawls, "crawl_id", "left").drop("crawl_id")
+
+
+def p2_transfer_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    return digests.percentiles_of(_transfers(spark, root), ["site_key", "status", "day"], ["transfer_bytes"], "row_id")
+
+
+def p2_transfer_spans(spark: SparkSession, root: str) -> DataFrame:
+    return digests.spans_of(_transfers(spark, root), ["site_key", "status", "day"], ["transfer_bytes"], "row_id")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -123,6 +130,7 @@ QUERIES = {
     "p2_fetch_counts": p2_fetch_counts,
     "p2_fetch_spans": p2_fetch_spans,
     "p2_transfer_percentiles": p2_transfer_percentiles,
+    "p2_transfer_spans": p2_transfer_spans,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
@@ -142,7 +150,7 @@ SELECT site_key, fetcher_id, status, CAST(event_ts AT TIME ZONE 'UTC' AS DATE) A
   FROM (SELECT * FROM page_fetches QUALIFY row_number() OVER (PARTITION BY event_id) = 1)) WHERE value > 0"""
 
 SQL = {
-    "p2_fetch_counts": f"SELECT site_key, fetcher_id, status, CAST(day AS VARCHAR) AS day, metric, count(*) AS n, true AS within_bound FROM ({_MEASURED}) GROUP BY ALL",
+    "p2_fetch_counts": f"SELECT site_key, fetcher_id, status, CAST(day AS VARCHAR) AS day, metric, count(*) AS n FROM ({_MEASURED}) GROUP BY ALL",
     "p6_found": _P6 + "SELECT first_row_id, row_id FROM sets WHERE row_id <> first_row_id",
     "p6_sets": _P6 + "SELECT DISTINCT crawl_id, first_row_id, copies FROM sets WHERE copies > 1",
 }

@@ -21,12 +21,24 @@ def test_digest_errors_and_spans(spark):
     exact = sorted(r[3] for r in rows if r[1] == "g" and r[2] == "2024-01-01")
     got = next(r for r in out if r["site"] == "g" and str(r["day"]) == "2024-01-01")
     assert abs(got["p50"] - exact[len(exact) // 2]) < 0.05 * exact[len(exact) // 2] + 5
-    days = digests.day_digests(d, ["site", "day"], ["load"], "event_id")
-    month = digests.estimates(digests.spans(days, ["site", "day", "metric"]), ["site", "day", "metric"]).collect()
-    assert {r["n"] for r in month} == {2000, 4000}
+    month = digests.spans_of(twice, ["site", "day"], ["load"], "event_id").collect()
+    assert {r["n"] for r in month} == {2000, 4000} and all(r["within_bound"] for r in month)
     values = sorted(r[3] for r in rows if r[1])
     median = next(r["p50"] for r in month if r["site"] == "g")
-    assert abs(sum(v < median for v in values) / len(values) - 0.5) < digests.bound()
+    assert abs(sum(v < median for v in values) / len(values) - 0.5) < digests.bound(0.5)
+
+
+def test_bounds_of_percentiles(spark):
+    rng = random.Random(5)
+    values = [int(rng.lognormvariate(5, 2)) + 1 for _ in range(20_000)]
+    d = spark.createDataFrame([(i, "s", v) for i, v in enumerate(values)], "event_id long, site string, v long")
+    out = digests.percentiles_of(d, ["site"], ["v"], "event_id").first()
+    values.sort()
+    assert out["within_bound"] and digests.bound(0.99) < digests.bound(0.5) / 4
+    for p in digests.PERCENTILES:
+        e = out[f"p{p * 100:g}"]
+        below, upto = sum(v < e for v in values), sum(v <= e for v in values)
+        assert below - 1 <= p * 20_000 + digests.bound(p) * 20_000 and upto >= p * 20_000 - digests.bound(p) * 20_000
 
 
 def test_digest_parts_merge_as_one(spark, monkeypatch):
@@ -113,7 +125,7 @@ def test_leaks(spark):
     q = "Read the passage and answer. "
     p1 = "The kettle of Wexa was mended 15 times by the choir of Tibur before the shop opened again in Sarolund"
     p2 = "Auditors at Lund logged 89 addresses with redirect chains after Vik had moved 70 files to Torlund in spring"
-    items = spark.createDataFrame([(1, q + p1), (2, q + p2), (3, None), (4, "")], "item_id long, text string")
+    items = spark.createDataFrame([(1, q + p1, "15 times"), (2, q + p2, None), (3, None, "x"), (4, "", "")], "item_id long, text string, answer string")
     w = p1.split()
     swapped = " ".join("odd" if i in (3, 12) else x for i, x in enumerate(w))
     docs = [
@@ -122,6 +134,9 @@ def test_leaks(spark):
     ]
     got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (8, 1), (8, 2)}
+    blocks = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, block=1).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, got))
+    assert {r["doc_id"] for r in got if r["answered"]} == {1, 2, 3, 8}
     first = next(r for r in got if r["doc_id"] == 1)
     assert docs[0][1][first["begins"] : first["ends"]].split() == p1.upper().split()
 
@@ -141,6 +156,25 @@ def test_cut_texts(spark):
     assert (rate["texts"], rate["cut_texts"]) == (34, 6)
 
 
+def test_key_filter_holds_every_key(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(2000)]
+    wanted = cutoff.key_filter(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert cutoff.passes(np.array(keys, np.int64), wanted).all()
+    others = np.array([rng.randrange(-(2**63), 2**63) for _ in range(2000)], np.int64)
+    assert cutoff.passes(others, wanted).mean() < 0.01
+    assert not cutoff.passes(others, cutoff.key_filter(spark.createDataFrame([], "key long"))).any()
+
+
+def test_long_sentences_and_last_lines_are_judged_whole(spark):
+    long = "the " + " ".join(f"very{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
+    whole = [f"{long} crawl ended well. More." for _ in range(6)]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*whole, long + " crawl ended", long + " crawl en"])], "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in cutoff.cut_texts(d).collect()} == {6, 7}
+
+
 # problem 8
 
 
