@@ -32,13 +32,28 @@ def baseline(markers: DataFrame, group: list[str], page: str) -> DataFrame:
     return on.join(n, group).filter(F.col("_c") >= F.greatest(F.lit(2), F.ceil(F.col("_n") / 2))).select(*group, "kind", "token")
 
 
-def similarity(markers: DataFrame, base: DataFrame, group: list[str], page: str) -> DataFrame:
-    """(group, page, similarity): Jaccard of a page's markers with its group's baseline, 1 if both are empty."""
+#: fixed values: what each kind of marker weighs in the similarity of a page to its site
+MARKER_WEIGHTS = {"stylesheet": 0.35, "host": 0.25, "class": 0.15, "variable": 0.1, "chrome": 0.15}
+
+
+def similarity(markers: DataFrame, base: DataFrame, group: list[str], page: str, weights: dict[str, float] = MARKER_WEIGHTS) -> DataFrame:
+    """(group, page, similarity): the weighted mean, over the kinds of markers, of the Jaccard similarity of a page's with its group's baseline.
+
+    A kind of which neither has any agrees wholly. Chrome is of two yes or no
+    markers, of which the share that agrees counts: (2 - differing) / 2.
+    """
     m = markers.select(*group, page, "kind", "token").distinct()
-    both = m.join(base.withColumn("_in", F.lit(1)), [*group, "kind", "token"], "left").groupBy(*group, page).agg(F.count("*").alias("_a"), F.sum(F.coalesce("_in", F.lit(0))).alias("_i"))
-    size = base.groupBy(*group).agg(F.count("*").alias("_b"))
-    union = F.col("_a") + F.coalesce("_b", F.lit(0)) - F.col("_i")
-    return both.join(size, group, "left").select(*group, page, F.when(union == 0, 1.0).otherwise(F.col("_i") / union).alias("similarity"))
+    both = m.join(base.withColumn("_in", F.lit(1)), [*group, "kind", "token"], "left").groupBy(*group, page, "kind").agg(
+        F.count("*").alias("_a"), F.sum(F.coalesce("_in", F.lit(0))).alias("_i")
+    )
+    size = base.groupBy(*group, "kind").agg(F.count("*").alias("_b"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(w).alias("_w")) for k, w in weights.items())))
+    every = m.select(*group, page).distinct().select(*group, page, kinds.alias("_k")).select(*group, page, "_k.kind", "_k._w")
+    j = every.join(both, [*group, page, "kind"], "left").join(size, [*group, "kind"], "left")
+    a, b, i = (F.coalesce(c, F.lit(0)) for c in ("_a", "_b", "_i"))
+    union = a + b - i
+    jaccard = F.when(F.col("kind") == "chrome", (2 - (union - i)) / 2).when(union == 0, 1.0).otherwise(i / union)
+    return j.groupBy(*group, page).agg(F.sum(F.col("_w") * jaccard).alias("similarity"))
 
 
 def priority(depth: Column, in_sitemap: Column, links: Column, path: Column | None = None) -> Column:
@@ -52,11 +67,9 @@ def priority(depth: Column, in_sitemap: Column, links: Column, path: Column | No
 def next_batch(frontier: DataFrame, count: int, per_host: int | None = None, host: str = "host", order: list[str] = ["priority", "enqueued_at", "normalized_url"]) -> DataFrame:
     """The ``count`` next URLs, at most ``per_host`` of a host unless there is only one host; the limit is the feature."""
     if per_host is not None:
-        several = F.col("_hosts") > 1
         ranked = frontier.withColumn("_n", F.row_number().over(W.partitionBy(host).orderBy(*order)))
-        hosts = frontier.select(F.approx_count_distinct(host).alias("_hosts"))
-        ranked = ranked.join(F.broadcast(hosts))
-        frontier = ranked.filter(~several | (F.col("_n") <= per_host)).drop("_n", "_hosts")
+        several = F.lit(frontier.select(host).distinct().limit(2).count() > 1)
+        frontier = ranked.filter(~several | (F.col("_n") <= per_host)).drop("_n")
     return frontier.orderBy(*order).limit(count)
 
 

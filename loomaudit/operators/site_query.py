@@ -55,13 +55,14 @@ def page_of(rows: DataFrame, order: str, after: str | None = None, limit: int =
 def incoming_links(pages: DataFrame, links: DataFrame, group: list[str]) -> DataFrame:
     """(group, normalized_url, incoming): followed internal links per page by comparison form, zero where there are none.
 
-    ``links``: group, source, target, nofollow. A link of a page to itself
-    doesn't count; several links between two pages count once.
+    ``links``: group, source, target, nofollow. Every link counts, a page's
+    links to itself and repeated ones too; links from or to pages that weren't
+    crawled don't.
     """
     form = pages.select(*group, "normalized_url").distinct().withColumn("_form", url.comparison_form(F.col("normalized_url")))
-    to = links.filter(~F.coalesce(F.col("nofollow"), F.lit(False))).select(
-        *group, url.comparison_form(F.col("source")).alias("_from"), url.comparison_form(F.col("target")).alias("_form")
-    ).filter("_from <> _form").distinct()
+    to = links.filter(~F.coalesce(F.col("nofollow"), F.lit(False))).filter(url.is_internal(F.col("target"), F.col("source")))
+    to = to.select(*group, F.col("source").alias("normalized_url"), url.comparison_form(F.col("target")).alias("_form"))
+    to = to.join(form.select(*group, "normalized_url"), [*group, "normalized_url"], "left_semi")
     counts = to.groupBy(*group, "_form").agg(F.count("*").alias("incoming"))
     return form.join(counts, [*group, "_form"], "left").select(*group, "normalized_url", F.coalesce("incoming", F.lit(0)).alias("incoming"))
 
@@ -71,26 +72,30 @@ def capped_per_group(rows: DataFrame, group: list[str], order: list[Column | str
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
 
 
-def norm_outliers(rows: DataFrame, group: list[str], value: str, key: str, least: int = 8, band: float = 0.5, agreement: float = 0.7) -> DataFrame:
-    """(group, key, value, median, sigma): rows far below their group's norm.
+def norms(rows: DataFrame, group: list[str], value: str, least: int = 8, agreement: float = 0.7) -> DataFrame:
+    """(group, median, sigma, n): the norm of each group that has one.
 
     The norm is the median, sigma the larger of 1.4826 MAD and a tenth of it;
     a group of fewer than ``least`` rows, or of which fewer than ``agreement``
-    lie within half of the median, has no norm. The histogram per value is
-    taken first, so the exact medians come from counts.
+    lie within half of the median, or whose median is 0, has no norm. The
+    histogram per value is taken first, so the exact medians come from counts.
     """
-    v = rows.filter(F.col(value).isNotNull())
-    hist = v.groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    hist = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     med = hist.groupBy(*group).agg(F.expr("percentile(_v, 0.5, _c)").alias("median"), F.sum("_c").alias("n"))
     dev = hist.join(med, group).groupBy(*group).agg(
         F.expr("percentile(abs(_v - median), 0.5, _c)").alias("mad"),
         F.first("median").alias("median"),
         F.first("n").alias("n"),
         (F.sum(F.when(F.abs(F.col("_v") - F.col("median")) <= 0.5 * F.col("median"), F.col("_c")).otherwise(0)) / F.sum("_c")).alias("share"),
-    ).filter((F.col("n") >= least) & (F.col("share") >= agreement))
-    norm = dev.withColumn("sigma", F.greatest(1.4826 * F.col("mad"), 0.1 * F.col("median")))
-    out = v.join(norm.select(*group, "median", "sigma"), group)
-    return out.filter((F.col(value) < band * F.col("median")) & (F.col(value) < F.col("median") - 3 * F.col("sigma"))).select(*group, key, value, "median", "sigma")
+    ).filter((F.col("n") >= least) & (F.col("share") >= agreement) & (F.col("median") > 0))
+    return dev.select(*group, "median", F.greatest(1.4826 * F.col("mad"), 0.1 * F.col("median")).alias("sigma"), "n")
+
+
+def norm_outliers(rows: DataFrame, group: list[str], value: str, key: str, band: float = 0.5, floor: float | None = None) -> DataFrame:
+    """(group, key, value, median, sigma): rows under ``band`` of their group's median and three sigma below it; ``floor`` leaves out what lies under it, which is another rule's."""
+    out = rows.filter(F.col(value).isNotNull()).join(norms(rows, group, value).drop("n"), group)
+    far = (F.col(value) < band * F.col("median")) & (F.col(value) < F.col("median") - 3 * F.col("sigma"))
+    return out.filter(far if floor is None else far & (F.col(value) >= floor)).select(*group, key, value, "median", "sigma")
 
 
 def minority_forms(rows: DataFrame, group: list[str], form: str, key: str, least: int = 10, agreement: float = 0.7) -> DataFrame:

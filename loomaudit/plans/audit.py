@@ -30,12 +30,10 @@ def query(sql: str):
 
 
 def check_rows(spark: SparkSession, root: str) -> DataFrame:
-    ids = site.latest_pages(spark, root).select("row_id", "crawl_id", "normalized_url")
-    rows = site.rule_page_core(spark, root).join(ids, "row_id")
-    return c.unpivot_rules(rows, ["crawl_id"], "normalized_url", RULES)
+    return c.unpivot_rules(site.rule_page_core(spark, root), ["crawl_id"], "normalized_url", RULES)
 
 
-_CHECKS = f"""SELECT crawl_id, normalized_url, rule_id, status FROM (SELECT r.*, p.crawl_id, p.normalized_url FROM ({site.SQL["rule_page_core"]}) r JOIN page_features p USING (row_id))
+_CHECKS = f"""SELECT crawl_id, normalized_url, rule_id, status FROM ({site.SQL["rule_page_core"]})
  UNPIVOT (status FOR rule_id IN ({", ".join(RULES)}))"""
 _VALUE = "CASE status WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 WHEN 'fail' THEN 0.0 END"
 
@@ -119,10 +117,17 @@ _MARK = f"""SELECT DISTINCT crawl_id, normalized_url, unnest(['type', 'template'
  UNION SELECT DISTINCT crawl_id, normalized_url, 'schema', unnest(schema_types) FROM {site.LATEST}"""
 
 
+#: the markers that the tables have, in place of stylesheets, asset hosts and classes; the other kinds are of markup and agree wholly
+_KINDS = {"template": 0.35, "type": 0.25, "schema": 0.15, "variable": 0.1, "chrome": 0.15}
+
+
 @query(f"""WITH m AS (SELECT * FROM ({_MARK}) WHERE token IS NOT NULL), n AS (SELECT crawl_id, count(DISTINCT normalized_url) AS n FROM m GROUP BY 1),
-b AS (SELECT crawl_id, kind, token FROM m JOIN n USING (crawl_id) GROUP BY ALL HAVING count(*) >= greatest(2, ceil(any_value(n) / 2))), bs AS (SELECT crawl_id, count(*) AS b FROM b GROUP BY 1),
-x AS (SELECT m.crawl_id, m.normalized_url, count(*) AS a, count(b.token) AS i FROM m LEFT JOIN b USING (crawl_id, kind, token) GROUP BY ALL)
-SELECT crawl_id, normalized_url, round(i / (a + coalesce(b, 0) - i), 6) AS similarity FROM x LEFT JOIN bs USING (crawl_id)""")
+b AS (SELECT crawl_id, kind, token FROM m JOIN n USING (crawl_id) GROUP BY ALL HAVING count(*) >= greatest(2, ceil(any_value(n) / 2))), bs AS (SELECT crawl_id, kind, count(*) AS b FROM b GROUP BY ALL),
+x AS (SELECT m.crawl_id, m.normalized_url, kind, count(*) AS a, count(b.token) AS i FROM m LEFT JOIN b USING (crawl_id, kind, token) GROUP BY ALL),
+k AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {w})" for k, w in _KINDS.items())}) AS t(kind, w)),
+e AS (SELECT DISTINCT m.crawl_id, m.normalized_url, k.kind, k.w FROM m, k)
+SELECT crawl_id, normalized_url, round(sum(w * CASE WHEN coalesce(a, 0) + coalesce(b, 0) - coalesce(i, 0) = 0 THEN 1.0 ELSE coalesce(i, 0) / (coalesce(a, 0) + coalesce(b, 0) - coalesce(i, 0)) END), 6) AS similarity
+FROM e LEFT JOIN x USING (crawl_id, normalized_url, kind) LEFT JOIN bs USING (crawl_id, kind) GROUP BY ALL""")
 def baseline_similarity(spark: SparkSession, root: str) -> DataFrame:
     p = site.latest_pages(spark, root)
     s = F.struct
@@ -132,7 +137,7 @@ def baseline_similarity(spark: SparkSession, root: str) -> DataFrame:
     )
     m = p.select("crawl_id", "normalized_url", F.explode(marks).alias("m")).select("crawl_id", "normalized_url", "m.kind", "m.token").filter("token is not null")
     base = d.baseline(m, ["crawl_id"], "normalized_url")
-    return d.similarity(m, base, ["crawl_id"], "normalized_url").withColumn("similarity", F.round("similarity", 6))
+    return d.similarity(m, base, ["crawl_id"], "normalized_url", _KINDS).withColumn("similarity", F.round("similarity", 6))
 
 
 _FRONT = """SELECT DISTINCT crawl_id, normalized_url, depth, depth * 100 - CASE WHEN meta_noindex THEN 0 ELSE 200 END - least(coalesce(len(schema_types), 0), 10) * 10

@@ -73,15 +73,14 @@ def url_group_by_prefix(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy(url.host(u).alias("host"), F.element_at(url.segments(u), 1).alias("section")).agg(F.countDistinct("normalized_url").alias("pages"))
 
 
-# the eight rules over URLs, as one narrow pass
+# rules over URLs that need no markup, as one narrow pass
 _URL_RULES = f"""SELECT DISTINCT normalized_url,
  CASE WHEN contains(p, '_') THEN 'warn' WHEN contains(p, '-') THEN 'pass' ELSE 'info' END AS hyphens,
  CASE WHEN length(normalized_url) > 100 THEN 'warn' WHEN length(normalized_url) > 75 THEN 'info' ELSE 'pass' END AS length,
  CASE WHEN regexp_matches(p, '[A-Z]') THEN 'warn' ELSE 'pass' END AS lowercase,
- CASE WHEN contains(p, '//') THEN 'warn' ELSE 'pass' END AS double_slash,
  CASE WHEN len(seg) > 4 THEN 'info' ELSE 'pass' END AS depth,
- CASE WHEN len(list_filter(string_split(regexp_extract(normalized_url, '\\?([^#]*)', 1), '&'), lambda x: x <> '')) > 3 THEN 'info' ELSE 'pass' END AS parameters
- FROM (SELECT normalized_url, {_PATH} AS p, {_SEG} AS seg FROM page_features WHERE normalized_url IS NOT NULL)"""
+ CASE WHEN n = 0 THEN 'pass' WHEN n > 3 THEN 'warn' ELSE 'info' END AS parameters
+ FROM (SELECT normalized_url, len(list_filter(string_split(regexp_extract(normalized_url, '\\?([^#]*)', 1), '&'), lambda x: x <> '')) AS n, {_PATH} AS p, {_SEG} AS seg FROM page_features WHERE normalized_url IS NOT NULL)"""
 
 
 @query(_URL_RULES)
@@ -89,20 +88,20 @@ def rule_url(spark: SparkSession, root: str) -> DataFrame:
     u = F.col("normalized_url")
     p = url.path(u)
     when = lambda c, a, b="pass": F.when(c, F.lit(a)).otherwise(F.lit(b))
+    n = F.size(F.filter(F.split(url.query(u), "&"), lambda x: x != ""))
     d = pages(spark, root).filter(u.isNotNull()).select(u).distinct()
     return d.select(
         u,
         F.when(p.contains("_"), F.lit("warn")).when(p.contains("-"), F.lit("pass")).otherwise(F.lit("info")).alias("hyphens"),
         F.when(F.length(u) > 100, F.lit("warn")).when(F.length(u) > 75, F.lit("info")).otherwise(F.lit("pass")).alias("length"),
         when(p.rlike("[A-Z]"), "warn").alias("lowercase"),
-        when(p.contains("//"), "warn").alias("double_slash"),
         when(url.depth(u) > 4, "info").alias("depth"),
-        when(F.size(F.filter(F.split(url.query(u), "&"), lambda x: x != "")) > 3, "info").alias("parameters"),
+        F.when(n == 0, F.lit("pass")).when(n > 3, F.lit("warn")).otherwise(F.lit("info")).alias("parameters"),
     )
 
 
-@query(f"""SELECT row_id, CASE WHEN coalesce(title, '') = '' THEN 'fail' WHEN length(title) < 30 OR length(title) > 75 THEN 'warn' ELSE 'pass' END AS meta_title,
- CASE WHEN description IS NULL THEN 'fail' WHEN length(description) < 120 OR length(description) > 160 THEN 'warn' ELSE 'pass' END AS meta_description,
+@query(f"""SELECT row_id, crawl_id, normalized_url, CASE WHEN coalesce(title, '') = '' THEN 'fail' WHEN length(title) < 30 OR length(title) > 75 THEN 'warn' ELSE 'pass' END AS meta_title,
+ CASE WHEN coalesce(description, '') = '' THEN 'fail' WHEN length(description) < 120 OR length(description) > 160 THEN 'warn' ELSE 'pass' END AS meta_description,
  CASE WHEN word_count < 300 THEN 'warn' WHEN word_count < 500 THEN 'info' ELSE 'pass' END AS word_count_rule,
  CASE WHEN canonical IS NULL THEN 'warn' WHEN NOT starts_with(canonical, 'http') THEN 'fail' WHEN canonical <> normalized_url THEN 'info' ELSE 'pass' END AS canonical_rule,
  CASE WHEN len(indexable_reasons) > 0 THEN 'info' ELSE 'pass' END AS indexability,
@@ -112,9 +111,9 @@ def rule_page_core(spark: SparkSession, root: str) -> DataFrame:
     c = F.col
     d = latest_pages(spark, root)
     return d.select(
-        "row_id",
+        "row_id", "crawl_id", "normalized_url",
         F.when(F.coalesce("title", F.lit("")) == "", F.lit("fail")).when((F.length("title") < 30) | (F.length("title") > 75), F.lit("warn")).otherwise(F.lit("pass")).alias("meta_title"),
-        F.when(c("description").isNull(), F.lit("fail")).when((F.length("description") < 120) | (F.length("description") > 160), F.lit("warn")).otherwise(F.lit("pass")).alias("meta_description"),
+        F.when(F.coalesce("description", F.lit("")) == "", F.lit("fail")).when((F.length("description") < 120) | (F.length("description") > 160), F.lit("warn")).otherwise(F.lit("pass")).alias("meta_description"),
         F.when(c("word_count") < 300, F.lit("warn")).when(c("word_count") < 500, F.lit("info")).otherwise(F.lit("pass")).alias("word_count_rule"),
         F.when(c("canonical").isNull(), F.lit("warn")).when(~c("canonical").startswith("http"), F.lit("fail")).when(c("canonical") != c("normalized_url"), F.lit("info")).otherwise(F.lit("pass")).alias("canonical_rule"),
         F.when(F.size("indexable_reasons") > 0, F.lit("info")).otherwise(F.lit("pass")).alias("indexability"),
@@ -137,9 +136,12 @@ def duplicate_description(spark: SparkSession, root: str) -> DataFrame:
     return q.duplicate_groups(pages(spark, root), ["crawl_id"], F.col("description"), "normalized_url")
 
 
-@query(_duplicates("content_hash"))
+@query("""SELECT crawl_id, CAST(sum(pages) AS BIGINT) AS pages, count(*) AS contents, count(*) FILTER (pages > 1) AS duplicate_groups FROM (
+ SELECT crawl_id, lower(trim(content_hash)) AS h, count(DISTINCT normalized_url) AS pages FROM page_features WHERE trim(content_hash) <> '' GROUP BY ALL) GROUP BY crawl_id""")
 def duplicate_content(spark: SparkSession, root: str) -> DataFrame:
-    return q.duplicate_groups(pages(spark, root), ["crawl_id"], F.col("content_hash"), "normalized_url")
+    """Per crawl: pages with content, different contents, and contents that several pages have."""
+    v = pages(spark, root).filter("trim(content_hash) <> ''").groupBy("crawl_id", F.lower(F.trim("content_hash")).alias("h")).agg(F.countDistinct("normalized_url").alias("n"))
+    return v.groupBy("crawl_id").agg(F.sum("n").alias("pages"), F.count("*").alias("contents"), F.count_if(F.col("n") > 1).alias("duplicate_groups"))
 
 
 @query(f"""WITH d AS ({_duplicates("template_fp")}), g AS (SELECT *, dense_rank() OVER (PARTITION BY crawl_id ORDER BY copies DESC, value) AS gr,
@@ -179,12 +181,14 @@ def cached_page(spark: SparkSession, root: str) -> DataFrame:
     return q.latest(good, ["normalized_url"], ["started_at", "crawl_id"]).select("normalized_url", "crawl_id", "row_id")
 
 
-@query("""SELECT DISTINCT p.crawl_id, p.canonical FROM page_features p WHERE p.canonical IS NOT NULL
- AND NOT EXISTS (SELECT 1 FROM page_features o WHERE o.crawl_id = p.crawl_id AND o.normalized_url = p.canonical)""")
-def canonical_not_crawled(spark: SparkSession, root: str) -> DataFrame:
+@query("""WITH want AS (SELECT DISTINCT crawl_id, canonical FROM page_features WHERE canonical IS NOT NULL), have AS (SELECT DISTINCT crawl_id, normalized_url FROM page_features)
+SELECT crawl_id, count(*) AS canonicals, count(*) FILTER (normalized_url IS NULL) AS not_crawled FROM (SELECT w.*, h.normalized_url FROM want w LEFT JOIN have h ON h.crawl_id = w.crawl_id AND h.normalized_url = w.canonical) GROUP BY 1""")
+def canonical_targets(spark: SparkSession, root: str) -> DataFrame:
+    """Per crawl: different canonical addresses, and those that weren't crawled."""
     p = pages(spark, root)
     want = p.filter("canonical is not null").select("crawl_id", "canonical").distinct()
-    return want.join(p.select("crawl_id", F.col("normalized_url").alias("canonical")), ["crawl_id", "canonical"], "left_anti")
+    have = p.filter("normalized_url is not null").select("crawl_id", F.col("normalized_url").alias("canonical"), F.lit(True).alias("crawled")).distinct()
+    return want.join(have, ["crawl_id", "canonical"], "left").groupBy("crawl_id").agg(F.count("*").alias("canonicals"), F.count_if(F.col("crawled").isNull()).alias("not_crawled"))
 
 
 @query("""SELECT DISTINCT f.crawl_id, f.normalized_url FROM page_features f SEMI JOIN (SELECT snapshot_crawl_id AS crawl_id, normalized_url FROM site_pages WHERE state = 'active') s
@@ -194,25 +198,39 @@ def noindex_in_registry(spark: SparkSession, root: str) -> DataFrame:
     return pages(spark, root).filter("meta_noindex").select("crawl_id", "normalized_url").distinct().join(known, ["crawl_id", "normalized_url"], "left_semi")
 
 
-@query("""WITH l AS (SELECT DISTINCT crawl_id, normalized_url AS source, canonical AS target FROM page_features WHERE canonical IS NOT NULL),
-f AS (SELECT DISTINCT crawl_id, normalized_url, regexp_replace(normalized_url, '([^/])/$', '\\1') AS form FROM page_features),
-c AS (SELECT crawl_id, b AS form, count(*) AS incoming FROM (SELECT DISTINCT crawl_id, regexp_replace(source, '([^/])/$', '\\1') AS a, regexp_replace(target, '([^/])/$', '\\1') AS b FROM l) WHERE a <> b GROUP BY ALL)
+_FORM = "regexp_replace(regexp_replace({}, '[?#].*$', ''), '([^/])/$', '\\1')"
+
+
+@query(f"""WITH l AS (SELECT crawl_id, {_FORM.format("canonical")} AS form FROM page_features WHERE canonical IS NOT NULL AND normalized_url IS NOT NULL
+ AND lower(regexp_extract(canonical, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) = {_HOST}),
+f AS (SELECT DISTINCT crawl_id, normalized_url, {_FORM.format("normalized_url")} AS form FROM page_features), c AS (SELECT crawl_id, form, count(*) AS incoming FROM l GROUP BY ALL)
 SELECT f.crawl_id, f.normalized_url, coalesce(c.incoming, 0) AS incoming FROM f LEFT JOIN c USING (crawl_id, form)""")
 def incoming_links(spark: SparkSession, root: str) -> DataFrame:
-    """Canonical references as the links that the tables have."""
+    """Canonical references as the links that the tables have; each row's counts, those of a page to itself too."""
     p = pages(spark, root)
     links = p.filter("canonical is not null").select("crawl_id", F.col("normalized_url").alias("source"), F.col("canonical").alias("target"), F.lit(False).alias("nofollow"))
     return q.incoming_links(p, links, ["crawl_id"])
 
 
-@query(f"""WITH d AS (SELECT crawl_id, page_type, normalized_url, word_count FROM {LATEST} WHERE word_count IS NOT NULL),
-m AS (SELECT crawl_id, page_type, median(word_count) AS median, count(*) AS n FROM d GROUP BY ALL),
-a AS (SELECT crawl_id, page_type, median(abs(word_count - median)) AS mad, any_value(median) AS median, any_value(n) AS n, avg(CASE WHEN abs(word_count - median) <= 0.5 * median THEN 1.0 ELSE 0.0 END) AS share FROM d JOIN m USING (crawl_id, page_type) GROUP BY ALL)
-SELECT crawl_id, page_type, normalized_url, word_count, CAST(median AS DOUBLE) AS median, round(greatest(1.4826 * mad, 0.1 * median), 6) AS sigma FROM d JOIN a USING (crawl_id, page_type)
-WHERE n >= 8 AND share >= 0.7 AND word_count < 0.5 * median AND word_count < median - 3 * greatest(1.4826 * mad, 0.1 * median)""")
+@query(f"""WITH p AS (SELECT crawl_id, count(*) AS pages FROM {LATEST} GROUP BY 1),
+d AS (SELECT crawl_id, lower(trim(page_type)) AS t, word_count FROM {LATEST} WHERE status BETWEEN 200 AND 299 AND word_count >= 0 AND lower(trim(page_type)) NOT IN ('', 'unknown')),
+m AS (SELECT crawl_id, t, median(word_count) AS median, count(*) AS n FROM d GROUP BY ALL),
+a AS (SELECT crawl_id, t, median(abs(word_count - median)) AS mad, any_value(median) AS median, any_value(n) AS n, avg(CASE WHEN abs(word_count - median) <= 0.5 * median THEN 1.0 ELSE 0.0 END) AS share FROM d JOIN m USING (crawl_id, t) GROUP BY ALL),
+j AS (SELECT *, greatest(1.4826 * mad, 0.1 * median) AS sigma FROM a WHERE n >= 8 AND share >= 0.7 AND median > 0),
+x AS (SELECT crawl_id, count(*) AS judged, count(*) FILTER (word_count >= 300 AND word_count < 0.5 * median AND word_count < median - 3 * sigma) AS outliers FROM d JOIN j USING (crawl_id, t) GROUP BY 1)
+SELECT crawl_id, pages, coalesce(judged, 0) AS judged, coalesce(outliers, 0) AS outliers,
+ CASE WHEN pages < 10 OR judged IS NULL THEN 'skipped' WHEN outliers = 0 THEN 'pass' WHEN outliers >= 0.2 * judged THEN 'fail' ELSE 'warn' END AS status FROM p LEFT JOIN x USING (crawl_id)""")
 def thin_vs_norm(spark: SparkSession, root: str) -> DataFrame:
-    out = q.norm_outliers(latest_pages(spark, root), ["crawl_id", "page_type"], "word_count", "normalized_url")
-    return out.withColumn("sigma", F.round("sigma", 6)).withColumn("median", F.col("median").cast("double"))
+    """Per crawl, whether pages are thin against the norm of their type: sites of ten pages or more, typed 2xx pages, above the floor that the word-count rule has."""
+    p = latest_pages(spark, root)
+    t = F.lower(F.trim("page_type"))
+    d = p.filter((F.col("status") >= 200) & (F.col("status") < 300) & (F.col("word_count") >= 0) & ~t.isin("", "unknown")).select("crawl_id", t.alias("t"), "normalized_url", "word_count")
+    judged = q.norms(d, ["crawl_id", "t"], "word_count").groupBy("crawl_id").agg(F.sum("n").alias("judged"))
+    thin = q.norm_outliers(d, ["crawl_id", "t"], "word_count", "normalized_url", floor=300).groupBy("crawl_id").agg(F.count("*").alias("outliers"))
+    out = p.groupBy("crawl_id").agg(F.count("*").alias("pages")).join(judged, "crawl_id", "left").join(thin, "crawl_id", "left")
+    n, x = F.coalesce("judged", F.lit(0)), F.coalesce("outliers", F.lit(0))
+    status = F.when((F.col("pages") < 10) | F.col("judged").isNull(), F.lit("skipped")).when(x == 0, F.lit("pass")).when(x >= 0.2 * n, F.lit("fail")).otherwise(F.lit("warn"))
+    return out.select("crawl_id", "pages", n.alias("judged"), x.alias("outliers"), status.alias("status"))
 
 
 @query(f"""WITH d AS (SELECT crawl_id, normalized_url, CASE WHEN ends_with(normalized_url, '/') THEN 'slash' WHEN ends_with(normalized_url, '.html') THEN 'html' ELSE 'bare' END AS form FROM {LATEST}),
