@@ -33,7 +33,7 @@ def csp_status(csp: Column) -> Column:
 def hsts_status(scheme: Column, value: Column) -> Column:
     """info off https; warn if absent, malformed, zero or under six months."""
     age = F.regexp_extract(value, r"(?i)max-age\s*=\s*\"?(\d{1,12})", 1).try_cast("bigint")
-    return F.when(scheme != "https", F.lit("info")).when(age.isNull() | (age < 15_552_000), F.lit("warn")).otherwise(F.lit("pass"))
+    return F.when(scheme != "https", F.lit("info")).when(age.isNull() | (age < 15_768_000), F.lit("warn")).otherwise(F.lit("pass"))
 
 
 def cookie(set_cookie: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomaudit.rules import page  # noqa: F401
+from loomaudit.rules import delivery, page  # noqa: F401
 from loomaudit.rules.cases import CASES
 from loomaudit.rules.engine import run_rules
 from loomaudit.session import spread

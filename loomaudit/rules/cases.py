@@ -190,4 +190,82 @@ CASES = [
     _case("url/slug-keywords", "slug-keywords=info", _BARE, "https://shop.example/"),
     _case("crawl/html-size", "html-size=pass", _BARE),
     _case("crawl/html-size", "html-size=warn", "<p>" + "x" * 1024 * 1024),
+    _case("perf/dom-size", "dom-total-nodes=pass dom-depth=pass dom-max-children=pass", _BARE),
+    _case("perf/dom-size", "dom-total-nodes=warn dom-depth=pass dom-max-children=warn", "<html><body>" + "<p>x</p>" * 1500 + "</body></html>"),
+    _case("perf/dom-size", "dom-total-nodes=pass dom-depth=warn dom-max-children=pass", "<div>" * 33),
+    _case("perf/compression", "compression=pass", _BARE, content_type="text/html", content_encoding="BR"),
+    _case("perf/compression", "compression=warn", _BARE, content_type="text/html", content_encoding="identity"),
+    _case("perf/compression", "compression=warn", _BARE, content_type="text/html", transfer_encoding="chunked"),
+    _case("perf/compression", "compression=fail", "<p>" + "x" * 1001, content_type="text/html"),
+    _case("perf/compression", "compression=info", _BARE, content_type="image/png"),
+    _case("perf/cache-headers", "cache-headers-missing=warn", _BARE),
+    _case("perf/cache-headers", "cache-control=info", _BARE, cache_control="no-store, max-age=9"),
+    _case("perf/cache-headers", "cache-control=pass", _BARE, cache_control="no-cache", etag="x"),
+    _case("perf/cache-headers", "cache-control=warn", _BARE, cache_control="no-cache"),
+    _case("perf/cache-headers", "cache-control-html=info", _BARE, cache_control="max-age=3601"),
+    _case("perf/cache-headers", "cache-control-html=pass cache-immutable=pass", _BARE, cache_control="public, max-age=60, immutable"),
+    _case("perf/cache-headers", "cache-control-static=warn", _BARE, "https://shop.example/a.css", cache_control="max-age=60"),
+    _case("perf/cache-headers", "cache-control=warn", _BARE, cache_control="public"),
+    _case("perf/cache-headers", "cache-expires=info", _BARE, expires="0"),
+    _case("security/hsts", "hsts=pass", _BARE, strict_transport_security="max-age=31536000"),
+    _case("security/hsts", "hsts=warn", _BARE, strict_transport_security="max-age=15767999"),
+    _case("security/hsts", "hsts=warn", _BARE),
+    _case("security/hsts", "hsts=info", _BARE, "http://shop.example/"),
+    _case("security/sri", "sri=warn", "<script src=https://cdn.example/x.js></script>"),
+    _case("security/sri", "sri=pass", "<link rel='preload stylesheet' href=//cdn.example/x.css integrity=sha384-x>"),
+    _case("security/sri", "sri=info", "<script src=/own.js></script>"),
+    _case("security/cookie-flags", "cookie-flags=pass", _BARE),
+    _case("security/cookie-flags", "cookie-samesite-none-insecure=fail cookie-secure=warn cookie-httponly=warn", _BARE, set_cookie="a=1; SameSite=None"),
+    _case("security/cookie-flags", "cookie-samesite=info", _BARE, set_cookie="a=1; Secure; HttpOnly; Expires=Wed, 01 Jan 2025 00:00:00 GMT"),
+    _case("security/cookie-flags", "cookie-flags=pass", _BARE, set_cookie="a=1; Secure; HttpOnly; SameSite=Lax, b=2; secure; httponly; samesite=strict"),
+    _case("links/nofollow-internal", "nofollow-internal=warn", "<a href=/a rel='NoFollow'>x</a>"),
+    _case("links/nofollow-internal", "nofollow-internal=pass", "<a href=https://other.example/ rel=nofollow>x</a>"),
+    _case("links/external-links", "external-links=pass", "<a href=https://other.example/>x</a>"),
+    _case("links/external-links", "external-links=info", "<a href=/a>x</a>"),
+    _case("social/og-url-match", "og-url-match=pass", "<meta property=og:url content=https://shop.example/a/><link rel=canonical href=https://shop.example/a>"),
+    _case("social/og-url-match", "og-url-match=warn", "<meta property=og:url content=https://shop.example/b><link rel=canonical href=https://shop.example/a>"),
+    _case("social/og-url-match", "og-url-match=info", _BARE),
+    _case("social/share-buttons", "share-buttons=pass", "<a href='https://www.linkedin.com/shareArticle?u=x'>x</a>"),
+    _case("social/share-buttons", "share-buttons=pass", "<div class=addtoany></div>"),
+    _case("social/share-buttons", "share-buttons=info", _BARE),
+    _case("a11y/select-name", "select-name=fail", "<label for=s></label><select id=s></select>"),
+    _case("a11y/select-name", "select-name=pass", "<label>Size <select><option>L</option></select></label>"),
+    _case("a11y/select-name", "select-name=info", _BARE),
+    _case("a11y/aria-toggle-field-name", "aria-toggle-field-name=fail", "<input type=checkbox><span role=switch>Dark</span>"),
+    _case("a11y/aria-toggle-field-name", "aria-toggle-field-name=pass", "<label>Yes <input type=radio></label>"),
+    _case("a11y/landmark-regions", "landmark-main=warn landmark-nav=info landmark-footer=info", _BARE),
+    _case("a11y/landmark-regions", "landmark-main=pass landmark-nav=pass landmark-footer=pass", "<nav></nav><main></main><div role=contentinfo></div>"),
+    _case("a11y/table-headers", "table-headers=warn", "<table><tr><td>1</td></tr></table>"),
+    _case("a11y/table-headers", "table-headers=pass", "<table><tr><th>A</th></tr></table><table role=none></table>"),
+    _case("a11y/table-headers", "table-headers=info", _BARE),
+    _case("images/lazy-loading", "lazy-loading=pass lazy-loading-missing=info", "<img src=/a.png loading=lazy><img src=/b.png>"),
+    _case("images/lazy-loading", "lazy-loading=info", "<img src=/a.png loading=eager>"),
+    _case("images/lazy-loading", "lazy-loading=skipped", _BARE),
+    _case("images/srcset", "srcset=pass", "<img src=/a.png srcset='/a2.png 2x'>"),
+    _case("images/srcset", "srcset=info", "<img src=/a.png>"),
+    _case("images/srcset", "srcset=skipped", _BARE),
+    _case("images/filename-quality", "filename-quality=info", "<img src=/p/IMG_2041.jpg>"),
+    _case("images/filename-quality", "filename-quality=pass", "<img src=/p/copper-kettle.jpg?v=2>"),
+    _case("images/filename-quality", "filename-quality=skipped", _BARE),
+    _case("images/modern-format", "modern-format=pass", "<img src=/a.webp>"),
+    _case("images/modern-format", "modern-format=info", "<img src=/a.jpg>"),
+    _case("images/modern-format", "modern-format=skipped", _BARE),
+    _case("mobile/viewport-zoom", "viewport-zoom=fail", "<meta name=viewport content='maximum-scale=1.0'>"),
+    _case("mobile/viewport-zoom", "viewport-zoom=pass", "<meta name=viewport content='maximum-scale=10'>"),
+    _case("mobile/viewport-zoom", "viewport-zoom=skipped", _BARE),
+    _case("analytics/gtm-present", "gtm-present=pass", "<script src=https://plausible.example/p.js></script>"),
+    _case("analytics/gtm-present", "gtm-present=info", _BARE),
+    _case("core/canonical", "canonical=pass", "<link rel=canonical href=https://shop.example/guides/copper-kettles>"),
+    _case("core/canonical", "canonical=pass", "<link rel=canonical href=https://SHOP.example>", "https://shop.example/"),
+    _case("core/canonical", "canonical=info", "<link rel=canonical href=https://shop.example/other>"),
+    _case("core/canonical", "canonical=warn", _BARE),
+    _case("crawl/pagination", "pagination=skipped", _BARE),
+    _case("crawl/pagination", "pagination-canonical=warn pagination-links=info", "<link rel=canonical href=/blog>", "https://shop.example/blog?page=2"),
+    _case("crawl/pagination", "pagination-canonical=pass pagination-links=info", "<link rel=canonical href=/blog/page/2/><link rel=next href=/blog/page/3/>", "https://shop.example/blog/page/2/"),
+    _case("crawl/pagination", "pagination-links=info", "<link rel=next href=/b>"),
+    _case("i18n/hreflang", "hreflang-xdefault=warn hreflang-self=warn hreflang=pass", "<link rel=alternate hreflang=de href=https://shop.example/de>"),
+    _case("i18n/hreflang", "hreflang=pass", "<link rel=alternate hreflang=x-default href=https://shop.example/guides/copper-kettles>"),
+    _case("i18n/hreflang", "hreflang=info", _BARE),
+    _case("content/meta-in-body", "meta-in-body=fail", "<html><body><meta name=robots content=noindex></body></html>"),
+    _case("content/meta-in-body", "meta-in-body=pass", "<html><head><meta name=a></head></html>"),
 ]

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 
 from loomaudit.sources.html import CLOSES, VOID
 
-NODE = "i:int,tag:string,attrs:map<string,string>,ptag:string,prole:string,pptag:string,text:string,names:int,holds:array<string>"
+NODE = "i:int,tag:string,attrs:map<string,string>,ptag:string,prole:string,pptag:string,text:string,names:int,holds:array<string>,depth:int,kids:int"
 SCHEMA = f"url string, html string, headers map<string,string>, nodes array<struct<{NODE}>>"
 #: bits of ``names``: what gives a node its name for assistive technology, and where it stands
-LABEL, LABELLED, TITLE, TEXT, VALUE, IMAGE, SVG, INNER, FOR, FOR_TEXT, IN_LABEL, IN_FIGURE, IN_HEAD = (1 << k for k in range(13))
+LABEL, LABELLED, TITLE, TEXT, VALUE, IMAGE, SVG, INNER, FOR, FOR_TEXT, IN_LABEL, IN_FIGURE, IN_HEAD, IN_BODY, LABEL_TEXT = (1 << k for k in range(15))
 #: elements whose text is kept, and whose descendants' names are
 TEXTS = {"a", "button", "h1", "h2", "h3", "h4", "h5", "h6", "label", "title", "caption", "figcaption", "script", "th", "summary", "legend", "option"}
 HOLDERS = {"picture", "figure", "video", "audio", "a", "button", "table", "form", "nav"}
@@ -70,7 +70,8 @@ class Nodes(HTMLParser):
             key = a.get("id")
             bits |= FOR * (key in labels) | FOR_TEXT * labels.get(key, False)
             up = {u["tag"] for u in n["open"]}
-            bits |= IN_LABEL * ("label" in up) | IN_FIGURE * ("figure" in up) | IN_HEAD * ("head" in up)
+            bits |= IN_LABEL * ("label" in up) | IN_FIGURE * ("figure" in up) | IN_HEAD * ("head" in up) | IN_BODY * ("body" in up)
+            bits |= LABEL_TEXT * any(u["tag"] == "label" and text[id(u)] for u in n["open"])
             n["names"] = bits
         for n in self.nodes:
             a, mark = n["attrs"], 0
@@ -86,6 +87,10 @@ class Nodes(HTMLParser):
                     u["holds"].add("figcaption+")
                 if n["tag"] == "track" and a.get("kind") in ("captions", "subtitles"):
                     u["holds"].add("track+")
+        kids: dict[int, int] = {}
+        for n in self.nodes:
+            if n["parent"]:
+                kids[n["parent"]["i"]] = kids.get(n["parent"]["i"], 0) + 1
         for n in self.nodes:
             p = n["parent"]
             out.append(
@@ -93,6 +98,7 @@ class Nodes(HTMLParser):
                     "i": n["i"], "tag": n["tag"], "attrs": n["attrs"], "ptag": p and p["tag"], "prole": p and p["attrs"].get("role"),
                     "pptag": p and p["parent"] and p["parent"]["tag"], "text": text[id(n)] if n["tag"] in TEXTS else None, "names": n["names"],
                     "holds": sorted(n["holds"]) if n["tag"] in HOLDERS else [],
+                    "depth": len(n["open"]) + 1, "kids": kids.get(n["i"], 0),
                 }
             )
         return out

@@ -1,13 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomaudit.rules import engine, page  # noqa: F401
+from loomaudit.rules import delivery, engine, page  # noqa: F401
 from loomaudit.rules.cases import CASES
 from loomaudit.sources import dom
 
 
 def test_every_rule_has_cases():
-    assert {c[0] for c in CASES} == set(engine.RULES) and len(engine.RULES) >= 60
+    assert {c[0] for c in CASES} == set(engine.RULES) and len(engine.RULES) >= 85
 
 
 def test_which_rules_run():
