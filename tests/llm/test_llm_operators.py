@@ -280,6 +280,25 @@ def test_body_lines_with_changing_digits(spark):
     assert got == {h: {4, 5, 6, 7, 9} if i % 2 else {4, 5, 6, 7, 8, 9} for i, (h, _) in enumerate(rows)}
 
 
+def test_body_lines_of_every_page_of_a_large_template(spark):
+    # only pages that don't have the smallest hashes hold the notice: a wrapper of some pages doesn't know it
+    first = [r["id"] for r in spark.range(1400).select("id", F.xxhash64(F.concat(F.lit("h"), "id")).alias("x")).orderBy("x").collect()]
+    notice = "Orders of this week leave on Monday because of the fair."
+    rows = []
+    for i, (h, text) in enumerate(site(1400, prose_body)):
+        lines = text.split("\n")
+        rows.append((h, "\n".join([*lines[:5], notice if i in set(first[700:]) else lines[5], *lines[5:]])))
+    content, pages = tables(spark, rows)
+    units = wrappers.units(content, pages)
+    assert units.select("part").distinct().count() > wrappers.FAN
+    made = wrappers.wrappers(content.withColumnRenamed("content", "text"), units.select("hash", "unit", "parts", "part")).collect()
+    key = wrappers.key_of(notice)
+    assert [(r["unit"], r["pages"], r["shares"][r["keys"].index(key)]) for r in made] == [("t:t1", 1400, 0.5)]
+    kept = {(r["hash"], r["line_no"]) for r in wrappers.body_lines(content, pages).collect()}
+    assert not any((rows[i][0], 6) in kept for i in first[700:])
+    assert all((h, n) in kept for h, _ in rows for n in (4, 5))
+
+
 def test_residue(spark):
     rows = site(30, prose_body)
     bad = site(1, lambda i: ["Copper kettle", "Hello {{customer.first}}, welcome to ${shop.city}."])[0][1]
