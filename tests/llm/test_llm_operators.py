@@ -312,6 +312,18 @@ def test_residue(spark):
     assert {r["record_key"] for r in residue.residue_titles(titles, model).collect()} == {"1", "6", "7"}
 
 
+def test_residue_model_of_all_texts_and_titles(spark):
+    rows = [(f"h{i}", f"{prose_body(i)[1]}\nA line for {chr(97 + i % 26)}{chr(97 + i // 26)} only.\n<b>The same in all</b> of them.") for i in range(300)]
+    rows += [(f"n{i}", x) for i, x in enumerate([*residue_grammar.notices(600), *residue_grammar.filler(600)])]
+    content, pages = tables(spark, [*rows, ("again", rows[0][1]), ("null", None)])
+    pages = pages.unionByName(pages).withColumn("title", F.concat(F.lit("A title of the page "), "content_hash", F.element_at(F.array(F.lit(""), F.lit(" | Lund"), F.lit(" - Vik")), (F.rand(1) * 3 + 1).cast("int"))))
+    lines = {p for _, t in rows for p in map(wrappers.plain, t.split("\n")) if len(p) > 12}
+    want = residue.fit_prose([*lines, *[f"A title of the page {h}" for h, _ in rows], "A title of the page again", "A title of the page null"])
+    assert residue.train(content.repartition(5), pages).notice.tolist() == want.notice.tolist()
+    # without one text the model is another: no text is left out
+    assert residue.train(content.filter("hash <> 'h7'"), pages).notice.tolist() != want.notice.tolist()
+
+
 def test_residue_that_shows_only_as_judged(spark):
     rows = site(30, prose_body)
     wrong = garbling.garble("Произошла внутренняя ошибка. Повторите попытку позже.", "cp1251 as cp1252")
