@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,3 +368,21 @@ def test_spam(spark):
     table = site(1, lambda i: ["Kettle", "A fine kettle of copper that the choir of the town has mended twice.", "Material | copper", "Weight | 4 g", "Colour | red"])[0][1]
     content, pages = tables(spark, [*rows, ("stuffed", stuffed), ("links", links), ("table", table), ("empty", ""), ("null", None)])
     assert {r["hash"] for r in prose.spam_pages(content, pages).collect()} == {"stuffed", "links"}
+
+
+def test_spam_model_of_all_texts(spark):
+    rows = [(f"h{i}", "\n".join(prose_body(i))) for i in range(2200)]
+    content = tables(spark, [*rows, ("again", rows[0][1]), ("null", None)])[0]
+    # the texts with the largest hashes
+    last = [r["hash"] for r in content.filter("content is not null").orderBy(F.pmod(F.xxhash64("content"), F.lit(1 << 30)).desc()).limit(40).collect()]
+    whole, part = prose.train(content.repartition(3)), prose.train(content.filter(~F.col("hash").isin(last)))
+    assert whole.learned > part.learned and prose.train(content).one.tolist() == whole.one.tolist()
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(3)
+    rows = [(i % 3, round(rng.lognormvariate(1, 0.3), 6)) for i in range(1001)] + [(4, 1.5)] * 7
+    got, whole = prose.medians(spark.createDataFrame([*rows, (-1, float("inf"))], "k int, v double"))
+    for k in range(3):
+        assert got[k] == pytest.approx(pd.Series([v for x, v in rows if x == k]).median(), abs=1e-9)
+    assert got[3:] == [None] * 4 and whole == pytest.approx(pd.Series([v for _, v in rows]).median(), abs=1e-9)
