@@ -325,6 +325,22 @@ def test_residue_model_of_all_texts_and_titles(spark):
     assert residue.train(content.filter("hash <> 'h7'"), pages).notice.tolist() != want.notice.tolist()
 
 
+def test_residue_headings_of_many_pages_keep_their_weight(spark, monkeypatch):
+    monkeypatch.setattr(residue, "TEXTS", 100)
+    rows = [(f"h{i}", f"Common questions\nA line for {chr(97 + i % 26)}{chr(97 + i // 26)} only.\n{'A line of two pages.' if i < 2 else 'Oak'}") for i in range(600)]
+    content, pages = tables(spark, [*rows, ("again", rows[0][1]), ("null", None)])
+    pages = pages.withColumn("title", F.concat(F.lit("A title of all - "), "content_hash"))
+    got = {(r["line"], r["title"]): r["n"] for r in residue.prose_lines(content, pages).collect()}
+    # once in each part of the texts, and a title once
+    assert got[("Common questions", False)] == 6 and got[("A line for aa only.", False)] == 1 and got[("A line of two pages.", False)] in (1, 2)
+    assert got[("A title of all", True)] == 1 and len(got) == 603
+    model = residue.fit([x for i in range(60) for x in prose_body(i)])
+    lines, times = zip(*[(line, n) for (line, _), n in got.items()])
+    once = sum(residue._told([x] * n, [1] * n, model) for x, n in zip(lines, times))
+    assert residue._told([*lines], [*times], model).tolist() == once.tolist()
+    assert residue._told([*lines], [*times], None).tolist() == sum(residue._told([x] * n, [1] * n, None) for x, n in zip(lines, times)).tolist()
+
+
 def test_residue_that_shows_only_as_judged(spark):
     rows = site(30, prose_body)
     wrong = garbling.garble("Произошла внутренняя ошибка. Повторите попытку позже.", "cp1251 as cp1252")
