@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -395,6 +396,25 @@ def test_spam_model_of_all_texts(spark):
     assert whole.learned > part.learned and prose.train(content).one.tolist() == whole.one.tolist()
 
 
+def test_spam_pages_judged_together_as_alone():
+    pieces = prose.Pieces()
+    lines = ["A kettle's spout, the kettle’s lid_and 12 pots!", "Größe: 4 cm\u00a0breit", "日本 tea", "", "Ünter\u2003uns …", "Новый каталог 2024."]
+    for line in lines:
+        words, classes = pieces.numbers(pieces.line(line))
+        got = prose.TOKEN.findall(line if line.isascii() else prose.ODD.sub("", line))
+        assert words.tolist() == [prose.number(w.lower()) if w[0].isalnum() else 0 for w in got] and len(classes) == len(got)
+    bodies = [*(prose_body(i) for i in range(30)), [], [""], ["kettle kettle kettle"], lines, ["one"]]
+    model = prose.ClassModel({prose.number("the"), prose.number("of")}, low=[-9.0] * len(prose.PAGE_WORDS))
+    places = [pieces.line(x) for b in bodies for x in b if x]
+    given = model.of(*pieces.numbers([i for x in places for i in x]))
+    model.learn(np.bincount(prose.ClassModel.counts(given, np.array([len(x) for x in places]), np.array([len([x for x in b if x]) for b in bodies])), minlength=3 * prose.SLOTS))
+    together = model.verdicts(bodies, pieces)
+    assert together == [model.verdicts([b], prose.Pieces())[0] for b in bodies]
+    assert together[30] == together[31] == (None, 0, 0.0, float("inf")) and together[32][1:] != together[33][1:]
+    # what a page repeats costs little, whatever the pages beside it say
+    assert together[32][3] < min(x[3] for x in together[:30])
+
+
 def test_medians_are_exact(spark):
     rng = random.Random(3)
     rows = [(i % 3, round(rng.lognormvariate(1, 0.3), 6)) for i in range(1001)] + [(4, 1.5)] * 7
