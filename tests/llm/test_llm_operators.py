@@ -342,6 +342,13 @@ def test_residue_headings_of_many_pages_keep_their_weight(spark, monkeypatch):
     assert residue._told([*lines], [*times], None).tolist() == sum(residue._told([x] * n, [1] * n, None) for x, n in zip(lines, times)).tolist()
 
 
+def test_residue_titles_behind_a_status_number():
+    # shelf marks make the beginning of such titles prose
+    model = residue.fit([*(x for i in range(60) for x in prose_body(i)), *[f"{i} - N{chr(97 + i % 26)}" for i in range(100, 600)] * 9])
+    titles = ["Not Found", "404 - Not Found", "404 - Not Found — Lund", "404: Not Found", "503 – a novel of the river", "Copper kettle 404 - Not"]
+    assert model.titles(titles) == ["notice"] * 4 + [None] * 2
+
+
 def test_residue_that_shows_only_as_judged(spark):
     rows = site(30, prose_body)
     wrong = garbling.garble("Произошла внутренняя ошибка. Повторите попытку позже.", "cp1251 as cp1252")
